@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from quillspark.llm.langid import op7_langid
 from quillspark.llm.mixing import op10_mixing
+from quillspark.llm.secrets import op8_secrets
 
 
 def queries() -> dict:
-    return {"op10_mixing": op10_mixing}
+    return {"op7_langid": op7_langid, "op8_secrets": op8_secrets, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
