@@ -5,10 +5,11 @@ from __future__ import annotations
 from quillspark.llm.langid import op7_langid
 from quillspark.llm.mixing import op10_mixing
 from quillspark.llm.secrets import op8_secrets
+from quillspark.llm.tokenstream import op1_tokenstream
 
 
 def queries() -> dict:
-    return {"op7_langid": op7_langid, "op8_secrets": op8_secrets, "op10_mixing": op10_mixing}
+    return {"op1_tokenstream": op1_tokenstream, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
