@@ -7,10 +7,10 @@
 3. Pairs are compared in signature batches.  After each batch the posterior of the similarity (uniform
    prior, binomial matches) is asked for P(similarity >= threshold); below `miss` the pair is dropped.
 4. Survivors are verified on their full shingle sets, and links joined to components.
-5. Buckets that still hold more than one component are refined: small ones give their pairs across
-   components, large ones are banded again by other signature rows, until none is left.  A pair across
-   components of a bucket is thus tested or separated by a second banding; `miss` aside, no link
-   between components is lost.
+5. Buckets that still hold more than one component are refined.  Where few members stand outside the
+   bucket's largest component, each of them is paired with all members of other components.  Other
+   buckets are banded again by signature rows that depend on the bucket, at most twice, and then
+   give all pairs across components.  `miss` and the bandings aside, no link between components is lost.
 
 The banding finds a pair of similarity 0.75 with probability 1 - (1 - 0.75^4)^32 > 1 - 6e-6.
 
@@ -33,9 +33,9 @@ WIDTH = 5
 PERCENT = 75
 HASHES = 128
 ROWS = 4
-SUB_BANDS, SUB_ROWS = 24, 3
-SMALL_BUCKET = 48
-MOST_DEPTH = 5
+SUB_BANDS, SUB_ROWS = 16, 6
+FEW_OUTSIDE = 64
+MOST_DEPTH = 2
 BATCH_HASHES = 16
 MISS = 1e-6
 _seeds = np.random.default_rng(424242)
@@ -84,36 +84,29 @@ def _sig(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _band_keys(sig: np.ndarray, rows: np.ndarray, salt: int) -> np.ndarray:
-    """[row, band] keys of the signature rows in rows[band]."""
-    out = np.empty((len(sig), len(rows)), np.uint64)
-    for i, picked in enumerate(rows):
-        h = np.full(len(sig), U64((salt * 1000003 + i) & 0xFFFFFFFF)) * MULTS[20]
-        for j, r in enumerate(picked):
-            h = h + sig[:, r].astype(np.uint64) * MULTS[21 + j]
-        out[:, i] = mix(h)
-    return out
-
-
 def bands(classes: DataFrame) -> DataFrame:
     """(key, cid): a row for each class and band."""
-    rows = np.arange(HASHES).reshape(-1, ROWS)
+    count = HASHES // ROWS
 
     def run(batches):
         for b in batches:
-            keys = _band_keys(_sig(b.column(1)), rows, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), len(rows)))], names=["key", "cid"])
+            sig = _sig(b.column(1)).astype(np.uint64).reshape(-1, count, ROWS)
+            keys = mix((sig * MULTS[21 : 21 + ROWS]).sum(2) + np.arange(count, dtype=np.uint64) * MULTS[20])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count))], names=["key", "cid"])
 
     return classes.select("cid", "sig").mapInArrow(run, "key long, cid long")
 
 
-def sub_bands(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """(key, cid) of members of large buckets, banded again by other rows of the signature."""
-    rows = np.random.default_rng(1000 + depth).permutation(HASHES)[: SUB_BANDS * SUB_ROWS].reshape(SUB_BANDS, SUB_ROWS)
+def sub_bands(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cid) of a bucket's members, banded again by signature rows that the bucket's key picks."""
+    places = np.arange(SUB_BANDS * SUB_ROWS, dtype=np.uint64) * MULTS[22]
 
     def run(batches):
         for b in batches:
-            keys = mix(_band_keys(_sig(b.column(2)), rows, depth) ^ b.column(0).to_numpy().view(np.uint64)[:, None])
+            key, sig = b.column(0).to_numpy().view(np.uint64), _sig(b.column(2))
+            rows = (mix(key[:, None] + places) % U64(HASHES)).astype(np.int64)
+            values = np.take_along_axis(sig, rows, 1).astype(np.uint64).reshape(-1, SUB_BANDS, SUB_ROWS)
+            keys = mix((values * MULTS[23 : 23 + SUB_ROWS]).sum(2) + key[:, None] + np.arange(1, SUB_BANDS + 1, dtype=np.uint64) * MULTS[20])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), SUB_BANDS))], names=["key", "cid"])
 
     return members.join(classes, "cid").select("key", "cid", "sig").mapInArrow(run, "key long, cid long")
@@ -196,25 +189,24 @@ def classes_of(docs: DataFrame, id_col="doc_id", text_col="text", percent: int =
     links, tested, comp = None, None, None
     buckets = bands(sig_of)
     for depth in range(MOST_DEPTH + 1):
-        sizes = buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last")
-        held, _ = written(buckets.join(sizes, "key").select("key", "cid", "leader", "n"), "buckets")
+        sizes = buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader < last").drop("last")
+        held, _ = written(buckets.join(sizes, "key").select("key", "cid", "leader"), "buckets")
         pairs = held.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         links, tested = _link(docs, pairs, sig_of, links, tested, id_col, text_col, percent, miss)
         comp = components(links)
         release(spark)
-        open_ = _open(held, comp)
-        small = open_.where((F.col("n") <= SMALL_BUCKET) | F.lit(depth == MOST_DEPTH))
-        cross = small.alias("x").join(small.alias("y"), "key").where("x.cid < y.cid and x.comp <> y.comp")
-        cross = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        cross, _ = written(cross, "cross")
-        if not cross.isEmpty():
-            links, tested = _link(docs, cross, sig_of, links, tested, id_col, text_col, percent, miss)
-            comp = components(links)
-        large = _open(held.where(F.col("n") > SMALL_BUCKET), comp)
-        if depth == MOST_DEPTH or large.isEmpty():
+        open_, _ = written(_open(held, comp), "open")
+        few = open_.where((F.col("outside") <= FEW_OUTSIDE) | F.lit(depth == MOST_DEPTH))
+        cross = few.where("comp <> main").alias("x").join(few.alias("y"), "key").where("x.comp <> y.comp")
+        cross = cross.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+        links, tested = _link(docs, cross.join(tested, ["a", "b"], "left_anti"), sig_of, links, tested, id_col, text_col, percent, miss)
+        comp = components(links)
+        many = open_.where(F.col("outside") > FEW_OUTSIDE)
+        if depth == MOST_DEPTH or many.isEmpty():
             break
-        buckets, _ = written(sub_bands(large.select("key", "cid"), sig_of, depth + 1), "sub-bands")
+        many = _open(many.select("key", "cid"), comp)
+        buckets, _ = written(sub_bands(many.select("key", "cid"), sig_of), "sub-bands")
     of_row = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left")
     of_row = of_row.withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid")))
     of_row = of_row.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left")
@@ -227,10 +219,12 @@ def _repeats(classes: DataFrame) -> bool:
 
 
 def _open(held: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, cid, n, comp) of the buckets that hold more than one component."""
-    of = held.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left").select("key", "cid", "n", F.coalesce("v", "cid").alias("comp"))
-    mixed = of.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("key")
-    return of.join(mixed, "key")
+    """Members (key, cid, comp) of buckets with several components, the largest one (main) and the
+    number of members outside it."""
+    of = held.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left").select("key", "cid", F.coalesce("v", "cid").alias("comp"))
+    per = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+    return of.join(main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")), "key")
 
 
 def _link(docs, pairs, sig_of, links, tested, id_col, text_col, percent, miss):
