@@ -6,11 +6,12 @@ from quillspark.llm.langid import op7_langid
 from quillspark.llm.mixing import op10_mixing
 from quillspark.llm.neardup import op3_neardup
 from quillspark.llm.secrets import op8_secrets
+from quillspark.llm.substring import op9_substring
 from quillspark.llm.tokenstream import op1_tokenstream
 
 
 def queries() -> dict:
-    return {"op1_tokenstream": op1_tokenstream, "op3_neardup": op3_neardup, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op10_mixing": op10_mixing}
+    return {"op1_tokenstream": op1_tokenstream, "op3_neardup": op3_neardup, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
