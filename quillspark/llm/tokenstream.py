@@ -37,7 +37,11 @@ from quillspark.llm.shared import BYTE_VALUES, MULTS, SPACE, Powers, binary_rows
 END_ID = 0
 BLOCK_IDS = 1 << 16
 BATCH_IDS = 1 << 22
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
+RUN_PIECES = 4096
+TEXT_BYTES = 2 << 20
+GAP = SPACE.copy()
+GAP[0x1C:0x20] = True
 
 
 class Tokens:
@@ -50,6 +54,10 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.powers = Powers()
+        vocab = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # byte-level vocabularies have one character a byte
+            self.lengths[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
@@ -67,35 +75,51 @@ class Tokens:
             known[path] = Tokens(path)
         return known[path]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(count.sum())
-        while self.filled + total > len(self.pool):
+    def _learn(self, keys: np.ndarray, texts: list[bytes], joinable: np.ndarray) -> None:
+        """Tokenize new pieces.  Joinable ones go in long runs, cut again by their tokens' lengths."""
+        pieces, counts = [], np.zeros(len(texts), np.int64)
+        order = np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])
+        joined = int(joinable.sum())
+        for at in range(0, joined, RUN_PIECES):
+            some = order[at : min(joined, at + RUN_PIECES)]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([texts[i] for i in some]).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(texts[i]) for i in some), np.int64, len(some)))
+            counts[some] = np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right"), prepend=0)
+            pieces.append(ids)
+        for at in range(joined, len(order), RUN_PIECES):
+            some = order[at : at + RUN_PIECES]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
+                pieces.append(np.array(e.ids, np.uint32))
+                counts[i] = len(pieces[-1])
+        pieces = np.concatenate(pieces)
+        while self.filled + len(pieces) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.filled : self.filled + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
-        place = self.filled + np.cumsum(count) - count
-        self.filled += total
+        self.pool[self.filled : self.filled + len(pieces)] = pieces
+        place = np.empty(len(texts), np.int64)
+        place[order] = self.filled + np.cumsum(counts[order]) - counts[order]
+        self.filled += len(pieces)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, at, keys[order])
         self.place = np.insert(self.place, at, place[order])
-        self.count = np.insert(self.count, at, count[order])
+        self.count = np.insert(self.count, at, counts[order])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds per row) of the texts in an Arrow buffer, without end ids."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        # a white-space byte after a character that is no white space (nor one of 1C to 1F)
+        plain = ~GAP[data]
+        at = np.flatnonzero(SPACE[data[1:]] & plain[:-1]) + 1
+        high = at[data[at - 1] >= 0x80]
+        if len(high):
+            a, b, c = data[high - 1], data[np.maximum(high - 2, 0)], data[np.maximum(high - 3, 0)]
+            wide = ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE2) & (b <= 0x81)) | ((c == 0xE3) & (b == 0x80))
+            at = np.setdiff1d(at, high[wide], assume_unique=True)
         cut = np.zeros(n, bool)
-        plain = ~SPACE[data] & ~((data >= 0x1C) & (data <= 0x1F))
-        prev = np.zeros((3, n), np.uint8)
-        for k in range(3):
-            prev[k, k + 1 :] = data[: n - k - 1]
-        a, b, c = prev
-        wide = ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE2) & (b <= 0x81)) | ((c == 0xE3) & (b == 0x80))
-        cut[1:] = SPACE[data[1:]] & plain[:-1]
-        cut &= ~wide
+        cut[at] = True
+        safe = cut.copy()  # no pre-token spans such a place
         cut[offs[:-1][offs[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
@@ -110,8 +134,10 @@ class Tokens:
         if new.any():
             first = np.empty(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            some = first[new]
             raw = data.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
+            safe = np.append(safe, False)
+            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], safe[starts[some]] & safe[ends[some]])
             at = np.searchsorted(self.keys, keys)
         count = self.count[at][codes]
         done = np.cumsum(count)
@@ -130,7 +156,7 @@ def _id_table(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[D
 
     def tokenize(batches):
         tokens, part, local = Tokens.of(path), TaskContext.get().partitionId(), 0
-        for b in sub_batches(batches):
+        for b in sub_batches(batches, limit=TEXT_BYTES):
             ids, bounds = tokens.encode(*text_buffer(b.column(1)))
             rows = b.num_rows
             ids = np.insert(ids, bounds[1:], END_ID)
