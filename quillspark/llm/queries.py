@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quillspark.llm.decontaminate import OP6_SQL, op6_decontaminate
 from quillspark.llm.langid import op7_langid
+from quillspark.llm.licenses import op5_licenses
 from quillspark.llm.mixing import op10_mixing
 from quillspark.llm.neardup import op3_neardup
 from quillspark.llm.secrets import op8_secrets
@@ -11,8 +13,17 @@ from quillspark.llm.tokenstream import op1_tokenstream
 
 
 def queries() -> dict:
-    return {"op1_tokenstream": op1_tokenstream, "op3_neardup": op3_neardup, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_substring": op9_substring, "op10_mixing": op10_mixing}
+    return {
+        "op1_tokenstream": op1_tokenstream,
+        "op3_neardup": op3_neardup,
+        "op5_licenses": op5_licenses,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_langid": op7_langid,
+        "op8_secrets": op8_secrets,
+        "op9_substring": op9_substring,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_decontaminate": OP6_SQL}
