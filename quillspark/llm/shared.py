@@ -6,8 +6,11 @@ per byte times powers of an odd base, finished with a bit mixer.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -64,8 +67,17 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def tidy() -> None:
+    """Give a worker's freed memory back to the system, at the end of a task's work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 # --- text buffers -------------------------------------------------------------------------------

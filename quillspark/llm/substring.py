@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import MULTS, U64, Powers, binary_rows, drop_folder, mix, release, sub_batches, text_buffer, windows, word_bounds, word_hashes, written
+from quillspark.llm.shared import MULTS, U64, Powers, binary_rows, drop_folder, mix, release, sub_batches, text_buffer, tidy, windows, word_bounds, word_hashes, written
 
 WIDTH = 13
 BLOCK_BYTES = 4 << 20
@@ -68,7 +68,7 @@ def _unpack_docs(rids: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray,
 
 
 def _packed(h: np.ndarray, rid: np.ndarray, pos: np.ndarray, ranges: int):
-    """A batch of PACKED rows from one block's windows."""
+    """A batch of PACKED rows from one block's windows, given in the order of (rid, pos)."""
     out = []
 
     def row(key, local, s, known):
@@ -77,29 +77,34 @@ def _packed(h: np.ndarray, rid: np.ndarray, pos: np.ndarray, ranges: int):
         out.append((key, local, len(s), rids, counts, places, names[:, : 8 if local else 7].T.tobytes(), np.packbits(known).tobytes()))
 
     if len(h):
-        order = np.lexsort((rid, h))
+        order = np.argsort(h)
         hs, rs = h[order], rid[order]
         new = np.ones(len(hs), bool)
         new[1:] = hs[1:] != hs[:-1]
         at = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        least = rs[at]
-        later = rs > least[group]
-        shared = np.logical_or.reduceat(later, at)[group]
-        mine, rest = order[~later], order[later]
         flag = np.zeros(len(h), bool)
-        flag[order] = shared
+        size = np.diff(np.append(at, len(hs)))
+        many = np.flatnonzero(size > 1)  # hashes that occur more than once in the block
+        rest = np.zeros(0, np.int64)
+        if len(many):
+            s = order[np.repeat(size > 1, size)]
+            bounds = np.cumsum(size[many]) - size[many]
+            later = rid[s] > np.repeat(np.minimum.reduceat(rid[s], bounds), size[many])
+            flag[s] = np.repeat(np.logical_or.reduceat(later, bounds), size[many])
+            rest = np.sort(s[later])
+        keep = np.ones(len(h), bool)
+        keep[rest] = False
+        mine = np.flatnonzero(keep)  # in the order of (rid, pos), as h is
         q = ((h[mine] & U64(0xFF)) << U64(24)) | ((h[mine] >> U64(8)) & U64(0xFFFFFF))
-        owner = ((q * U64(ranges)) >> U64(32)).astype(np.int64)
-        mine = mine[np.lexsort((pos[mine], rid[mine], owner))]
-        owner = np.sort(owner)
+        owner = (q * U64(ranges)) >> U64(32)
+        by = np.argsort(owner.astype(np.uint16), kind="stable") if ranges <= 1 << 16 else np.argsort(owner, kind="stable")
+        mine, owner = mine[by], owner[by].astype(np.int64)
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
             s = mine[a:b]
             row(int(owner[a]), False, s, flag[s])
         if len(rest):
-            s = rest[np.lexsort((pos[rest], rid[rest]))]
-            row(ranges + int(rid[s[0]] % ranges), True, s, np.ones(len(s), bool))
+            row(ranges + int(rid[rest[0]] % ranges), True, rest, np.ones(len(rest), bool))
     columns = list(zip(*out, strict=True)) or [[]] * 8
     kinds = (pa.int64(), pa.bool_(), pa.int64(), *[pa.binary()] * 5)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "local", "n", "rids", "counts", "places", "names", "known"])
@@ -153,6 +158,7 @@ def _resolve(buckets: int, ranges: int):
             out.append((int(bucket[a]), rids, counts, places, name[a:b].tobytes(), np.packbits(later[a:b]).tobytes()))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         kinds = (pa.int32(), *[pa.binary()] * 5)
+        tidy()
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "rids", "counts", "places", "names", "later"])
 
     return run
@@ -172,6 +178,7 @@ def _assemble(table: pa.Table) -> pa.Table:
     rid, pos, name, later = rid[order], pos[order], name[order], later[order]
     at = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1))
     bounds = np.append(at, len(rid))
+    tidy()
     return pa.table([pa.array(rid[at]), binary_rows(pos.astype("<u4"), bounds), binary_rows(name, bounds), binary_rows(later, bounds)], names=["rid", "places", "names", "later"])
 
 
@@ -207,17 +214,22 @@ def find_repeats(rows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     def first(batches):
         powers = Powers()
         for b in sub_batches(batches, limit=BLOCK_BYTES):
+            rid = b.column(0).to_numpy()
+            if (np.diff(rid) < 0).any():
+                b = b.take(pa.array(np.argsort(rid)))
+                rid = b.column(0).to_numpy()
             data, offs = text_buffer(b.column(1))
             starts, _, at = word_bounds(data, offs)
             h, row, pos = windows(word_hashes(data, starts, powers, lower=False), at, width)
-            yield _packed(h, b.column(0).to_numpy()[row], pos, ranges)
+            yield _packed(h, rid[row], pos, ranges)
+        tidy()
 
     def doubled(length: int):
         def run(batches):
             for b in batches:
                 held = ([], [], [])
-                weight = 0
-                for i in range(b.num_rows):
+                weight = count = 0
+                for i in np.argsort(b.column(0).to_numpy()).tolist():
                     pos = np.frombuffer(b.column(1)[i].as_buffer(), "<u4").astype(np.int64)
                     name = np.frombuffer(b.column(2)[i].as_buffer(), "<u8")
                     at = np.searchsorted(pos, pos + length)
@@ -227,13 +239,16 @@ def find_repeats(rows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
                     held[1].append(np.full(int(ok.sum()), b.column(0)[i].as_py()))
                     held[2].append(pos[ok])
                     weight += len(held[2][-1])
-                    if weight >= BLOCK_BYTES // 6 or i == b.num_rows - 1:
+                    count += 1
+                    if weight >= BLOCK_BYTES // 6 or count == b.num_rows:
                         yield _packed(*(np.concatenate(x) for x in held), ranges)
                         held, weight = ([], [], []), 0
+            tidy()
 
         return run
 
     level, _ = _level(rows.select("rid", "text").mapInArrow(first, PACKED), ranges, ranges)
+    ranges = max(8, ranges // 4)  # what is left is a small part of the windows
     base, length, longest = level, width, level.select("rid", F.lit(width).alias("length"))
     while True:
         level, path = _level(level.select("rid", "places", "names").mapInArrow(doubled(length), PACKED), ranges, ranges)
