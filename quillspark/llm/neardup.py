@@ -1,16 +1,17 @@
 """MinHash near-duplicate classes with sequential Bayesian verification.
 
-1. One pass over the texts gives each document's shingle count, a 128-bit hash of its shingle set and
-   a MinHash signature.  Documents with one shingle set form a class, carried by its smallest doc_id.
-2. Signatures are banded; in each bucket every class is paired with the bucket's smallest class, so a
-   bucket of n gives n - 1 pairs.
-3. Pairs are compared in signature batches.  After each batch the posterior of the similarity (uniform
+1. One pass over the texts gives each document's shingle count, a 128-bit hash of its shingle set, the
+   keys of its 32 MinHash bands, and a one-permutation sketch of 256 bins for comparing.  Documents
+   with one shingle set form a class, carried by its smallest doc_id.
+2. In each band's bucket every class is paired with the bucket's smallest class, and likewise in the finer
+   bucket of this and the next band; a bucket of n gives fewer than 2 n pairs.
+3. Pairs are compared in batches of bins.  After each batch the posterior of the similarity (uniform
    prior, binomial matches) is asked for P(similarity >= threshold); below `miss` the pair is dropped.
 4. Survivors are verified on their full shingle sets, and links joined to components.
-5. Buckets that still hold more than one component are refined.  Where few members stand outside the
-   bucket's largest component, each of them is paired with all members of other components.  Other
-   buckets are banded again by signature rows that depend on the bucket, at most twice, and then
-   give all pairs across components.  `miss` and the bandings aside, no link between components is lost.
+5. Buckets that still hold more than one component are refined: their members outside the largest
+   component are first paired among themselves as in step 2; what then still stands outside is paired
+   with all members of other components whose size allows a link, each pair in one bucket only.  Where
+   very many stand outside, the bucket is first banded again by its members' sketches.
 
 The banding finds a pair of similarity 0.75 with probability 1 - (1 - 0.75^4)^32 > 1 - 6e-6.
 
@@ -33,11 +34,12 @@ WIDTH = 5
 PERCENT = 75
 HASHES = 128
 ROWS = 4
+BANDS = HASHES // ROWS
+BINS = 256
 SUB_BANDS, SUB_ROWS = 16, 6
-FEW_OUTSIDE = 64
-MOST_DEPTH = 2
-BATCH_HASHES = 16
-MISS = 1e-6
+FEW_OUTSIDE = 256
+BATCH_BINS = 32
+MISS = 1e-4
 _seeds = np.random.default_rng(424242)
 PERM_A = _seeds.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 PERM_B = _seeds.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -57,8 +59,20 @@ def signatures(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[at], out
 
 
+def bins(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """[row, bin] one-permutation sketch: 16 bits of each bin's smallest hash, 0 where it is empty."""
+    h = mix(h ^ MULTS[9])
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    cell = row * BINS + (h >> U64(56)).astype(np.int64)
+    at = np.flatnonzero(np.diff(cell, prepend=-1))
+    out = np.zeros(rows * BINS, np.uint16)
+    out[cell[at]] = (h[at] & U64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out.reshape(rows, BINS)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (hash of the set), sig (null without shingles)."""
+    """doc_id, n_shingles, k1, k2 (hash of the set), bands (keys), sig (bins); null without shingles."""
 
     def run(batches):
         powers = Powers()
@@ -68,61 +82,68 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h, row = shingle_sets(word_hashes(data, starts, powers, lower=True), first, WIDTH)
             n = np.bincount(row, minlength=b.num_rows)
             k = np.zeros((2, b.num_rows), np.uint64)
-            rows, sig = signatures(h, row)
+            rows, values = signatures(h, row)
             if len(rows):
                 at = np.flatnonzero(np.diff(row, prepend=-1))
                 k[0, rows] = np.add.reduceat(mix(h ^ MULTS[7]), at)
                 k[1, rows] = np.add.reduceat(mix(h ^ MULTS[8]), at)
-            bounds = np.concatenate([[0], np.cumsum(n > 0)]) * HASHES
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), binary_rows(sig.reshape(-1), bounds)], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+            keys = mix((values.astype(np.uint64).reshape(-1, BANDS, ROWS) * MULTS[21 : 21 + ROWS]).sum(2) + np.arange(BANDS, dtype=np.uint64) * MULTS[20])
+            held = np.concatenate([[0], np.cumsum(n > 0)])
+            sig = bins(h, row, b.num_rows)[n > 0]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), binary_rows(keys.reshape(-1), held * BANDS), binary_rows(sig.reshape(-1), held * BINS)],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+            )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return picked.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands binary, sig binary")
 
 
-def _sig(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+def _matrix(column, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, cid): a row for each class and band."""
-    count = HASHES // ROWS
+    """(key, fine, cid): a row for each class and band; fine joins the band with the next one."""
 
     def run(batches):
         for b in batches:
-            sig = _sig(b.column(1)).astype(np.uint64).reshape(-1, count, ROWS)
-            keys = mix((sig * MULTS[21 : 21 + ROWS]).sum(2) + np.arange(count, dtype=np.uint64) * MULTS[20])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count))], names=["key", "cid"])
+            keys = _matrix(b.column(1), "<u8", BANDS)
+            fine = mix(keys * MULTS[24] + np.roll(keys, -1, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(fine.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "fine", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "key long, cid long")
+    return classes.select("cid", "bands").mapInArrow(run, "key long, fine long, cid long")
 
 
 def sub_bands(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, cid) of a bucket's members, banded again by signature rows that the bucket's key picks."""
+    """(key, fine, cid) of a bucket's members, banded again by bins that the bucket's key picks."""
     places = np.arange(SUB_BANDS * SUB_ROWS, dtype=np.uint64) * MULTS[22]
 
     def run(batches):
         for b in batches:
-            key, sig = b.column(0).to_numpy().view(np.uint64), _sig(b.column(2))
-            rows = (mix(key[:, None] + places) % U64(HASHES)).astype(np.int64)
+            key, sig = b.column(0).to_numpy().view(np.uint64), _matrix(b.column(2), "<u2", BINS)
+            rows = (mix(key[:, None] + places) % U64(BINS)).astype(np.int64)
             values = np.take_along_axis(sig, rows, 1).astype(np.uint64).reshape(-1, SUB_BANDS, SUB_ROWS)
-            keys = mix((values * MULTS[23 : 23 + SUB_ROWS]).sum(2) + key[:, None] + np.arange(1, SUB_BANDS + 1, dtype=np.uint64) * MULTS[20])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), SUB_BANDS))], names=["key", "cid"])
+            keys = mix((values * MULTS[25 : 25 + SUB_ROWS]).sum(2) + key[:, None] + np.arange(1, SUB_BANDS + 1, dtype=np.uint64) * MULTS[20])
+            keys = pa.array(keys.reshape(-1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, keys, pa.array(np.repeat(b.column(1).to_numpy(), SUB_BANDS))], names=["key", "fine", "cid"])
 
-    return members.join(classes, "cid").select("key", "cid", "sig").mapInArrow(run, "key long, cid long")
+    return members.join(classes, "cid").select("key", "cid", "sig").mapInArrow(run, "key long, fine long, cid long")
 
 
-def least_matches(miss: float = MISS, percent: int = PERCENT) -> list[int]:
-    """Per batch, the fewest matches so far with P(similarity >= threshold | matches) >= miss."""
+def least_matches(miss: float = MISS, percent: int = PERCENT) -> np.ndarray:
+    """[n]: the fewest matches in n filled bins with P(similarity >= threshold | matches) >= miss."""
     x = (np.arange(20000) + 0.5) / 20000
-    out = []
-    for n in range(BATCH_HASHES, HASHES + 1, BATCH_HASHES):
-        for m in range(n + 1):
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        m = int(out[n - 1])
+        while True:
             logp = m * np.log(x) + (n - m) * np.log1p(-x)
             p = np.exp(logp - logp.max())
             if p[x >= percent / 100].sum() >= miss * p.sum():
-                out.append(m)
                 break
+            m += 1
+        out[n] = m
     return out
 
 
@@ -132,13 +153,18 @@ def prune(pairs: DataFrame, classes: DataFrame, miss: float, percent: int) -> Da
 
     def run(batches):
         for b in batches:
-            x, y = _sig(b.column(2)), _sig(b.column(3))
-            live, seen = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for i, least in enumerate(need):
-                cut = slice(i * BATCH_HASHES, (i + 1) * BATCH_HASHES)
-                seen[live] += (x[live, cut] == y[live, cut]).sum(1)
-                live = live[seen[live] >= least]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(live)), b.column(1).take(pa.array(live))], names=["a", "b"])
+            for at in range(0, b.num_rows, 4096):
+                s = b.slice(at, 4096)
+                x, y = _matrix(s.column(2), "<u2", BINS), _matrix(s.column(3), "<u2", BINS)
+                live = np.arange(len(x))
+                filled, seen = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+                for to in range(BATCH_BINS, BINS + 1, BATCH_BINS):
+                    p, q = x[live, to - BATCH_BINS : to], y[live, to - BATCH_BINS : to]
+                    some = (p | q) > 0
+                    filled[live] += some.sum(1)
+                    seen[live] += (some & (p == q)).sum(1)
+                    live = live[seen[live] >= need[filled[live]]]
+                yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(live)), s.column(1).take(pa.array(live))], names=["a", "b"])
 
     of = lambda s: classes.select(F.col("cid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -180,36 +206,30 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def classes_of(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    spark = docs.sparkSession
     rows, _ = written(sketch(docs, id_col, text_col), "sketch")
     groups = rows.where("n_shingles > 0").groupBy("k1", "k2")
-    classes, _ = written(groups.agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("cid"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "classes")
-    # one signature for each id, should a doc_id be repeated with other texts
-    sig_of = classes.groupBy("cid").agg(F.min(F.struct("n", "sig")).alias("x")).select("cid", "x.n", "x.sig") if _repeats(classes) else classes.select("cid", "n", "sig")
-    links, tested, comp = None, None, None
-    buckets = bands(sig_of)
-    for depth in range(MOST_DEPTH + 1):
-        sizes = buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader < last").drop("last")
-        held, _ = written(buckets.join(sizes, "key").select("key", "cid", "leader"), "buckets")
-        pairs = held.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        links, tested = _link(docs, pairs, sig_of, links, tested, id_col, text_col, percent, miss)
-        comp = components(links)
-        release(spark)
-        open_, _ = written(_open(held, comp), "open")
-        few = open_.where((F.col("outside") <= FEW_OUTSIDE) | F.lit(depth == MOST_DEPTH))
-        cross = few.where("comp <> main").alias("x").join(few.alias("y"), "key").where("x.comp <> y.comp")
-        cross = cross.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-        links, tested = _link(docs, cross.join(tested, ["a", "b"], "left_anti"), sig_of, links, tested, id_col, text_col, percent, miss)
-        comp = components(links)
-        many = open_.where(F.col("outside") > FEW_OUTSIDE)
-        if depth == MOST_DEPTH or many.isEmpty():
+    least = groups.agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("x"))
+    classes, _ = written(least.select("k1", "k2", F.col("x.doc_id").alias("cid"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sig"), "classes")
+    # one sketch for each id, should a doc_id be repeated with other texts
+    one = classes.groupBy("cid").agg(F.min(F.struct("n", "bands", "sig")).alias("x")).select("cid", "x.n", "x.bands", "x.sig") if _repeats(classes) else classes.select("cid", "n", "bands", "sig")
+    test = Tester(docs, one, id_col, text_col, percent, miss)
+    buckets = bands(one)
+    for depth in (0, 1):
+        big = buckets.groupBy("key").agg(F.min("cid").alias("p"), F.max("cid").alias("q")).where("p < q").select("key")
+        held, _ = written(buckets.join(big, "key"), "buckets")
+        test.link(_stars(held))
+        open_, _ = written(_open(held, test.comp), "open")
+        test.link(_stars(open_.where("comp <> main")))
+        release(docs.sparkSession)
+        open_, _ = written(_open(open_.select("key", "fine", "cid"), test.comp), "open")
+        many = F.col("outside") > FEW_OUTSIDE
+        test.link(_across(open_ if depth else open_.where(~many), one, percent))
+        if depth or open_.where(many).isEmpty():
             break
-        many = _open(many.select("key", "cid"), comp)
-        buckets, _ = written(sub_bands(many.select("key", "cid"), sig_of), "sub-bands")
+        buckets, _ = written(sub_bands(_open(open_.where(many).select("key", "fine", "cid"), test.comp).select("key", "cid"), one), "sub-bands")
     of_row = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left")
     of_row = of_row.withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid")))
-    of_row = of_row.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left")
+    of_row = of_row.join(test.comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left")
     component = F.coalesce("v", "cid", "doc_id")
     return of_row.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
@@ -218,23 +238,52 @@ def _repeats(classes: DataFrame) -> bool:
     return not classes.groupBy("cid").count().where("count > 1").isEmpty()
 
 
+def _stars(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with the smallest one of its bucket, and of its finer bucket."""
+    parts = []
+    for key in ("key", "fine"):
+        top = held.groupBy(key).agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").drop("z")
+        parts.append(held.select(key, F.col("cid").alias("b")).join(top, key).where("a < b").select("a", "b"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def _open(held: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (key, cid, comp) of buckets with several components, the largest one (main) and the
-    number of members outside it."""
-    of = held.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left").select("key", "cid", F.coalesce("v", "cid").alias("comp"))
+    """Members (key, fine, cid, comp) of buckets with several components, the largest one (main) and
+    the number of members outside it."""
+    of = held.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left").select("key", "fine", "cid", F.coalesce("v", "cid").alias("comp"))
     per = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
     return of.join(main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")), "key")
 
 
-def _link(docs, pairs, sig_of, links, tested, id_col, text_col, percent, miss):
-    """Test pairs; links and tested pairs so far, with theirs added."""
-    pairs, _ = written(pairs, "pairs")
-    left, _ = written(prune(pairs, sig_of, miss, percent), "survivors")
-    ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets, _ = written(full_sets(docs, ids, id_col, text_col), "sets")
-    found, _ = written(verify(left, sets, percent), "links")
-    return (found if links is None else links.unionByName(found)), (pairs if tested is None else tested.unionByName(pairs))
+def _across(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members outside a bucket's largest component with those of other components."""
+    rows = open_.join(classes.select("cid", "n"), "cid").select("key", "cid", "comp", "main", "n")
+    x, y = rows.where("comp <> main").alias("x"), rows.alias("y")
+    fits = F.expr(f"x.comp <> y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (y.comp = y.main or x.cid < y.cid)")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
+class Tester:
+    """Tests pairs and keeps links, tested pairs and components so far, each a written table."""
+
+    def __init__(self, docs, classes, id_col, text_col, percent, miss):
+        self.docs, self.classes, self.id_col, self.text_col, self.percent, self.miss = docs, classes, id_col, text_col, percent, miss
+        self.links = self.tested = self.comp = None
+
+    def link(self, pairs: DataFrame) -> None:
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs, _ = written(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        left, _ = written(prune(pairs, self.classes, self.miss, self.percent), "survivors")
+        if self.links is not None and left.isEmpty():
+            return
+        ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        sets, _ = written(full_sets(self.docs, ids, self.id_col, self.text_col), "sets")
+        found, _ = written(verify(left, sets, self.percent), "links")
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.comp = components(self.links)
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
