@@ -10,11 +10,13 @@ from quillspark.llm.neardup import op3_neardup
 from quillspark.llm.secrets import op8_secrets
 from quillspark.llm.substring import op9_substring
 from quillspark.llm.tokenstream import op1_tokenstream
+from quillspark.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_tokenstream": op1_tokenstream,
+        "op2_toxicity": op2_toxicity,
         "op3_neardup": op3_neardup,
         "op5_licenses": op5_licenses,
         "op6_decontaminate": op6_decontaminate,
