@@ -1,0 +1,18 @@
+"""Record types of the engine, as DDL strings."""
+
+CHUNK = "id string, text string, document_id string, chunk_index int, embedding array<float>, concepts array<string>"
+EDGE = "source_id string, target_id string, weight double, shared_concepts array<string>"
+INGEST_RESULT = "document_id string, chunk_count long, edge_count long"
+QUERY = "question string, document_ids array<string>, max_hops int, top_k int"
+QUERY_RESULT = "answer string, sources array<string>, traversal_path array<string>"
+TRAVERSAL_STEP = "node_id long, from_node long, edge_weight double, distance double, concepts array<string>"
+KEY_QUOTE = "quote string, start int, end int"
+SOURCE = f"id string, url string, canonical_url string, title string, author string, published_at string, retrieved_at string, domain string, text string, duplicate_of string, summary_bullets array<string>, key_quotes array<struct<{KEY_QUOTE.replace(' ', ':').replace(',:', ',')}>>, reliability_notes string, error string"
+PLAN = "topic string, queries array<string>, seed_urls array<string>, parameters map<string,string>"
+RUN_STATS = "fetched long, kept long, duplicates long, failures long"
+CRAWLED_PAGE = "seed string, ord long, url string, depth int, status int, error string"
+DEDUPE = "doc_id long, duplicate_of long"
+OUTAGE = "incident_id string, service string, severity string, status string, root_cause string, confidence double, should_escalate boolean, next_recommendation string, summary string"
+SOURCE_FILE = "path string, content string, language string"
+FINDING = "id string, file string, vuln_type string, severity string, pos long, evidence string"
+REPORT = "files_scanned long, total_findings long, confirmed long, reported_false_positives long, derived_false_positives long"
