@@ -9,9 +9,11 @@
    prior, binomial matches) is asked for P(similarity >= threshold); below `miss` the pair is dropped.
 4. Survivors are verified on their full shingle sets, and links joined to components.
 5. Buckets that still hold more than one component are refined: their members outside the largest
-   component are first paired among themselves as in step 2; what then still stands outside is paired
-   with all members of other components whose size allows a link, each pair in one bucket only.  Where
-   very many stand outside, the bucket is first banded again by its members' sketches.
+   component are first paired among themselves as in step 2 and with the members of it that have most
+   links.  What then still stands outside is compared with all members of other components, by pairs in
+   small buckets, block against block in large ones.  Sizes, shingles that no other open document has, and
+   sketches rule most out before the exact test.  A bucket with very many outside is first banded
+   again by its members' sketches.
 
 The banding finds a pair of similarity 0.75 with probability 1 - (1 - 0.75^4)^32 > 1 - 6e-6.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
@@ -37,7 +39,9 @@ ROWS = 4
 BANDS = HASHES // ROWS
 BINS = 256
 SUB_BANDS, SUB_ROWS = 16, 6
-FEW_OUTSIDE = 256
+FEW_OUTSIDE = 1024
+SMALL_BUCKET = 32
+BLOCK_MEMBERS, BLOCK_OUTSIDE = 1024, 256
 BATCH_BINS = 32
 MISS = 1e-4
 _seeds = np.random.default_rng(424242)
@@ -219,11 +223,15 @@ def classes_of(docs: DataFrame, id_col="doc_id", text_col="text", percent: int =
         held, _ = written(buckets.join(big, "key"), "buckets")
         test.link(_stars(held))
         open_, _ = written(_open(held, test.comp), "open")
-        test.link(_stars(open_.where("comp <> main")))
+        test.link(_stars(open_.where("comp <> main")).unionByName(_hubs(open_, test.links)).distinct())
         release(docs.sparkSession)
         open_, _ = written(_open(open_.select("key", "fine", "cid"), test.comp), "open")
         many = F.col("outside") > FEW_OUTSIDE
-        test.link(_across(open_ if depth else open_.where(~many), one, percent))
+        sets, _ = written(full_sets(docs, open_.select("cid").distinct(), id_col, text_col), "open-sets")
+        own, _ = written(own_shingles(sets), "own")
+        rest = open_ if depth else open_.where(~many)
+        test.link(_across(rest.where(F.col("size") <= SMALL_BUCKET), one, own, percent), sets)
+        test.add(_blocks(rest.where(F.col("size") > SMALL_BUCKET), sets, own, percent, miss))
         if depth or open_.where(many).isEmpty():
             break
         buckets, _ = written(sub_bands(_open(open_.where(many).select("key", "fine", "cid"), test.comp).select("key", "cid"), one), "sub-bands")
@@ -248,22 +256,142 @@ def _stars(held: DataFrame) -> DataFrame:
 
 
 def _open(held: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (key, fine, cid, comp) of buckets with several components, the largest one (main) and
-    the number of members outside it."""
+    """Members (key, fine, cid, comp) of buckets with several components, the largest one (main), the
+    number of members outside it, and the bucket's size."""
     of = held.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left").select("key", "fine", "cid", F.coalesce("v", "cid").alias("comp"))
     per = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
-    return of.join(main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")), "key")
+    return of.join(main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("outside"), F.col("n").alias("size")), "key")
 
 
-def _across(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members outside a bucket's largest component with those of other components."""
-    rows = open_.join(classes.select("cid", "n"), "cid").select("key", "cid", "comp", "main", "n")
+def _hubs(open_: DataFrame, links: DataFrame, k: int = 4) -> DataFrame:
+    """Pairs (a, b) of members outside a bucket's largest component with its k members of most links."""
+    degree = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("d"))
+    top = Window.partitionBy("key").orderBy(F.desc("d"), "cid")
+    hubs = open_.where("comp = main").join(degree, "cid").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("key", F.col("cid").alias("hub"))
+    rows = open_.where("comp <> main").select("key", "cid").join(hubs, "key")
+    return rows.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+
+
+PLANES, WORDS = 4, BINS // 64
+
+
+def planes(classes: DataFrame) -> DataFrame:
+    """(cid, n, bits): which bins are filled and, plane by plane, the low bits of their values, as longs."""
+
+    def run(batches):
+        for b in batches:
+            sig = _matrix(b.column(2), "<u2", BINS)
+            bits = [np.packbits(sig > 0, axis=1), *[np.packbits((sig >> np.uint16(i)) & np.uint16(1), axis=1) for i in range(1, PLANES + 1)]]
+            words = np.concatenate(bits, axis=1).view(np.int64).reshape(-1)
+            ends = pa.array(np.arange(b.num_rows + 1) * WORDS * (PLANES + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(words))], names=["cid", "n", "bits"])
+
+    return classes.select("cid", "n", "sig").mapInArrow(run, "cid long, n long, bits array<long>")
+
+
+def _alike(percent: int) -> str:
+    """SQL: sizes and bits of rows x and y allow a link; four standard deviations below the threshold."""
+    same, filled = [], []
+    for w in range(WORDS):
+        differ = " | ".join(f"(x.bits[{w + WORDS * p}] ^ y.bits[{w + WORDS * p}])" for p in range(1, PLANES + 1))
+        same.append(f"bit_count(x.bits[{w}] & y.bits[{w}] & ~({differ}))")
+        filled.append(f"bit_count(x.bits[{w}] | y.bits[{w}])")
+    t, n = percent / 100, f"({' + '.join(filled)})"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {' + '.join(same)} >= {t} * {n} - 4 * sqrt({t * (1 - t)} * {n})"
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(cid, own): how many shingles of a set stand in no other one of the table."""
+
+    def run(batches):
+        for b in batches:
+            for x in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
+                words = np.frombuffer(b"".join(x.column(1).to_pylist()), np.int64)
+                size = [len(w) // 8 for w in x.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.repeat(x.column(0).to_numpy(), size))], names=["h", "cid"])
+
+    each = sets.mapInArrow(run, "h long, cid long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid"))
+    return each.where("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _across(open_: DataFrame, classes: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members outside a bucket's largest component with those of other components, where
+    size, shingles of their own and sketch bits, looked at inside the join, allow a link.
+
+    An intersection is at most a set without the shingles that no other set of the table holds, and a
+    link needs (100 + percent) * intersection >= percent * (sum of the sizes).
+    """
+    bits = planes(classes.join(open_.select("cid").distinct(), "cid", "left_semi"))
+    rows = open_.join(bits, "cid").join(own, "cid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    rows = rows.where(F.col("most") * 100 >= F.col("n") * percent).select("key", "cid", "comp", "main", "n", "most", "bits")
     x, y = rows.where("comp <> main").alias("x"), rows.alias("y")
-    fits = F.expr(f"x.comp <> y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (y.comp = y.main or x.cid < y.cid)")
+    fits = F.expr(f"x.comp <> y.comp and (y.comp = y.main or x.cid < y.cid) and {100 + percent} * least(x.most, y.most) >= {percent} * (x.n + y.n) and {_alike(percent)}")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
+def _blocks(open_: DataFrame, sets: DataFrame, own: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) across components of large buckets: a block of members meets a block of outside members
+    in one task, which prunes by sketches, counts intersections and gives the links alone.
+
+    Buckets with the same members are looked at once.  A block has at most about BLOCK_MEMBERS members and
+    BLOCK_OUTSIDE outside ones, so a bucket's rows are copied once per block of the other side.
+    """
+    need = least_matches(miss, percent)
+    what = open_.groupBy("key").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("h"), F.max("size").alias("size"), F.max("outside").alias("outside"))
+    once = what.groupBy("h", "size", "outside").agg(F.min("key").alias("key")).select("key")
+    rows = open_.join(once, "key", "left_semi").select("key", "cid", "comp", "main", "size", "outside")
+    rows = rows.join(own, "cid", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(sets, "cid")
+    cells = lambda c, n: F.greatest(F.lit(1), F.ceil(F.col(c) / n)).cast("int")
+    rows = rows.withColumns({"nm": cells("size", BLOCK_MEMBERS), "no": cells("outside", BLOCK_OUTSIDE)})
+    place = F.xxhash64(F.lit(3), "cid")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumn("m", F.pmod(place, F.col("nm")).cast("int")).withColumn("o", each("no")).withColumn("out", F.lit(False))
+    outside = rows.where("comp <> main").withColumn("o", F.pmod(place, F.col("no")).cast("int")).withColumn("m", each("nm")).withColumn("out", F.lit(True))
+    columns = ["key", "m", "o", "out", "cid", "comp", "main", "own", "words"]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = table.column("out").to_numpy(zero_copy_only=False)
+        cid, comp, own = (table.column(c).to_numpy() for c in ("cid", "comp", "own"))
+        main = table.column("main")[0].as_py()
+        words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        n = np.array([len(w) for w in words])
+        h, row = np.concatenate(words), np.repeat(np.arange(len(words)), n)
+        sig = bins(h, row, len(words))
+        x_at, y_at = np.flatnonzero(out), np.flatnonzero(~out)
+        flat = np.concatenate([words[i] for i in y_at]) if len(y_at) else h[:0]
+        known, code = np.unique(flat, return_inverse=True)
+        first = np.cumsum(n[y_at]) - n[y_at]
+        most = n - own
+        found = []
+        for x in x_at if len(y_at) else []:
+            y = y_at
+            ok = (comp[y] != comp[x]) & ((comp[y] == main) | (cid[x] < cid[y]))
+            ok &= (100 + percent) * np.minimum(most[x], most[y]) >= percent * (n[x] + n[y])
+            live = np.flatnonzero(ok)
+            filled, seen = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
+            for to in range(BATCH_BINS, BINS + 1, BATCH_BINS):
+                p, q = sig[x, to - BATCH_BINS : to], sig[y[live], to - BATCH_BINS : to]
+                some = (p | q) > 0
+                filled[live] += some.sum(1)
+                seen[live] += (some & (p == q)).sum(1)
+                live = live[seen[live] >= need[filled[live]]]
+            if not len(live):
+                continue
+            held = np.zeros(len(known), np.int64)
+            at = np.searchsorted(known, words[x])
+            hit = at < len(known)
+            hit[hit] = known[at[hit]] == words[x][hit]
+            held[at[hit]] = 1
+            both = np.add.reduceat(held[code], first)[live]
+            yes = live[100 * both >= percent * (n[x] + n[y[live]] - both)]
+            found += [(min(cid[x], c), max(cid[x], c)) for c in cid[y[yes]]]
+        return pa.table([pa.array([int(v[i]) for v in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    both = members.select(*columns).unionByName(outside.select(*columns))
+    return both.groupBy("key", "m", "o").applyInArrow(run, "a long, b long").distinct()
+
+
 class Tester:
     """Tests pairs and keeps links, tested pairs and components so far, each a written table."""
 
@@ -271,7 +399,8 @@ class Tester:
         self.docs, self.classes, self.id_col, self.text_col, self.percent, self.miss = docs, classes, id_col, text_col, percent, miss
         self.links = self.tested = self.comp = None
 
-    def link(self, pairs: DataFrame) -> None:
+    def link(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
+        """Test pairs; sets: the full sets of their ids, if they are at hand."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs, _ = written(pairs, "pairs")
@@ -279,9 +408,19 @@ class Tester:
         left, _ = written(prune(pairs, self.classes, self.miss, self.percent), "survivors")
         if self.links is not None and left.isEmpty():
             return
-        ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets, _ = written(full_sets(self.docs, ids, self.id_col, self.text_col), "sets")
+        if sets is None:
+            ids = left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "cid")
+            sets, _ = written(full_sets(self.docs, ids, self.id_col, self.text_col), "sets")
         found, _ = written(verify(left, sets, self.percent), "links")
+        self._take(found)
+
+    def add(self, links: DataFrame) -> None:
+        """Take verified links."""
+        self._take(written(links, "links")[0])
+
+    def _take(self, found: DataFrame) -> None:
+        if self.links is not None and found.isEmpty():
+            return
         self.links = found if self.links is None else self.links.unionByName(found)
         self.comp = components(self.links)
 
