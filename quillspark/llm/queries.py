@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm.chroma import op4_chroma
 from quillspark.llm.decontaminate import OP6_SQL, op6_decontaminate
 from quillspark.llm.langid import op7_langid
 from quillspark.llm.licenses import op5_licenses
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_tokenstream": op1_tokenstream,
         "op2_toxicity": op2_toxicity,
         "op3_neardup": op3_neardup,
+        "op4_chroma": op4_chroma,
         "op5_licenses": op5_licenses,
         "op6_decontaminate": op6_decontaminate,
         "op7_langid": op7_langid,
