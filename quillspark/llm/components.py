@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.shared import written
 
 MOST_ROUNDS = 60
+LOCAL_EDGES = 200_000
+
+
+def _union_find(batches):
+    """All edges of a small table in one task: each id that is not its component's smallest, and that one."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            p, q = find(u), find(v)
+            parent[max(p, q)] = min(p, q)
+    rows = [(x, find(x)) for x in list(parent)]
+    rows = [(x, r) for x, r in rows if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -18,12 +39,15 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (u, v): every linked id that is not the smallest of its component, and that one.
 
-    Steps use minima and joins only, so that an id with very many links is never gathered in a task.
+    Tables of at most LOCAL_EDGES edges (about 3 MB) are joined in one task.  Beyond that size, steps use
+    minima and joins only, so that an id with very many links is never gathered in a task.
     An id without links has no row.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, _ = written(edges, "edges")
     before = _mark(edges)
+    if before[0] <= LOCAL_EDGES:
+        return written(edges.coalesce(1).mapInArrow(_union_find, "u long, v long"), "components")[0]
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

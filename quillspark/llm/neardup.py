@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import MULTS, U64, Powers, binary_rows, mix, release, shingle_sets, sub_batches, text_buffer, word_bounds, word_hashes, written
+from quillspark.llm.shared import MULTS, U64, Powers, binary_rows, mix, release, shingle_sets, sub_batches, text_buffer, tidy, word_bounds, word_hashes, written
 
 WIDTH = 5
 PERCENT = 75
@@ -43,6 +43,7 @@ FEW_OUTSIDE = 1024
 SMALL_BUCKET = 32
 BLOCK_MEMBERS, BLOCK_OUTSIDE = 1024, 256
 BATCH_BINS = 32
+FILTER_BITS = 1 << 27
 MISS = 1e-4
 _seeds = np.random.default_rng(424242)
 PERM_A = _seeds.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -175,19 +176,40 @@ def prune(pairs: DataFrame, classes: DataFrame, miss: float, percent: int) -> Da
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of a hash of each id (cid), as 64-bit words: 16 bits an id, at most FILTER_BITS in all."""
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("cid"), F.lit(bits))
+    cells = ids.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[cells.column("w").to_numpy()] = cells.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, words): the sorted shingle hashes of the documents in ids (cid)."""
+    """(cid, words): the sorted shingle hashes of the documents in ids (cid), and of a few others.
+
+    A filter of bounded size goes to the scan of the texts, so that texts are not shuffled; the others are
+    its false hits, which later joins leave out.
+    """
+    have = id_filter(ids)
 
     def run(batches):
         powers = Powers()
-        for b in sub_batches(batches):
-            data, offs = text_buffer(b.column(1))
-            starts, _, first = word_bounds(data, offs)
-            h, row = shingle_sets(word_hashes(data, starts, powers, lower=True), first, WIDTH)
-            yield pa.RecordBatch.from_arrays([b.column(0), binary_rows(h, np.searchsorted(row, np.arange(b.num_rows + 1)))], names=["cid", "words"])
-
-    picked = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return picked.join(ids, "cid", "left_semi").mapInArrow(run, "cid long, words binary")
+        for whole in batches:
+            at = whole.column(2).to_numpy()
+            hit = (have[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1)
+            whole = whole.take(pa.array(np.flatnonzero(hit)))
+            for b in sub_batches([whole]):
+                data, offs = text_buffer(b.column(1))
+                starts, _, first = word_bounds(data, offs)
+                h, row = shingle_sets(word_hashes(data, starts, powers, lower=True), first, WIDTH)
+                yield pa.RecordBatch.from_arrays([b.column(0), binary_rows(h, np.searchsorted(row, np.arange(b.num_rows + 1)))], names=["cid", "words"])
+        tidy()
+
+    place = F.pmod(F.xxhash64("cid"), F.lit(64 * len(have))).alias("p")
+    picked = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("string").alias("text")).where("text is not null and cid is not null")
+    return picked.select("cid", "text", place).mapInArrow(run, "cid long, words binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,11 +245,14 @@ def classes_of(docs: DataFrame, id_col="doc_id", text_col="text", percent: int =
         held, _ = written(buckets.join(big, "key"), "buckets")
         test.link(_stars(held))
         open_, _ = written(_open(held, test.comp), "open")
+        before = test.comp
         test.link(_stars(open_.where("comp <> main")).unionByName(_hubs(open_, test.links)).distinct())
         release(docs.sparkSession)
-        open_, _ = written(_open(open_.select("key", "fine", "cid"), test.comp), "open")
+        if test.comp is not before:
+            open_, _ = written(_open(open_.select("key", "fine", "cid"), test.comp), "open")
         many = F.col("outside") > FEW_OUTSIDE
-        sets, _ = written(full_sets(docs, open_.select("cid").distinct(), id_col, text_col), "open-sets")
+        ids = open_.select("cid").distinct()
+        sets, _ = written(full_sets(docs, ids, id_col, text_col).join(ids, "cid", "left_semi"), "open-sets")
         own, _ = written(own_shingles(sets), "own")
         rest = open_ if depth else open_.where(~many)
         test.link(_across(rest.where(F.col("size") <= SMALL_BUCKET), one, own, percent), sets)
@@ -421,8 +446,9 @@ class Tester:
     def _take(self, found: DataFrame) -> None:
         if self.links is not None and found.isEmpty():
             return
+        old = self.comp
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.comp = components(self.links)
+        self.comp = components(found if old is None else found.unionByName(old.select(F.col("u").alias("a"), F.col("v").alias("b"))))
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
