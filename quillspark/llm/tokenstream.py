@@ -37,8 +37,8 @@ from quillspark.llm.shared import BYTE_VALUES, MULTS, SPACE, Powers, binary_rows
 END_ID = 0
 BLOCK_IDS = 1 << 16
 BATCH_IDS = 1 << 22
-CACHE_PIECES = 1_000_000
-RUN_PIECES = 4096
+CACHE_PIECES = 2_000_000
+RUN_PIECES = 64
 TEXT_BYTES = 2 << 20
 GAP = SPACE.copy()
 GAP[0x1C:0x20] = True
@@ -62,8 +62,8 @@ class Tokens:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.uint32)
+        self.count = np.zeros(0, np.uint32)
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
@@ -139,9 +139,9 @@ class Tokens:
             safe = np.append(safe, False)
             self._learn(keys[new], [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], safe[starts[some]] & safe[ends[some]])
             at = np.searchsorted(self.keys, keys)
-        count = self.count[at][codes]
+        count = self.count[at].astype(np.int64)[codes]
         done = np.cumsum(count)
-        ids = self.pool[np.repeat(self.place[at][codes] - (done - count), count) + np.arange(int(done[-1]))]
+        ids = self.pool[np.repeat(self.place[at].astype(np.int64)[codes] - (done - count), count) + np.arange(int(done[-1]))]
         per_row = np.concatenate([[0], done])[np.searchsorted(starts, offs)]
         return ids, per_row
 
