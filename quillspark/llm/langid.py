@@ -109,6 +109,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     """Spectra and languages of at most per_lang rows of each language."""
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang is not null")
+    # a hash range of each language is wide enough for its sample and keeps large ones out of one task
+    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    if counts:
+        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_lang + 100) / n))])
+        ids = ids.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id", "lang")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
@@ -131,22 +136,29 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     return fit(x[filled], [v for v, ok in zip(y, filled, strict=True) if ok]) if filled.any() else None
 
 
+def best(model: Model | None, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language's number or -1 for und, score) of each row of a text buffer."""
+    rows = len(offs) - 1
+    if model is None:
+        return np.full(rows, -1), np.zeros(rows)
+    top, conf = np.zeros(rows, np.int64), np.zeros(rows)
+    for i in range(0, rows, CHUNK):
+        j = min(rows, i + CHUNK)
+        s = model.scores(spectra(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+        top[i:j] = s.argmax(1)
+        conf[i:j] = np.clip((s.max(1) + 1) / 2, 0, 1)
+    known = has_letter(data, offs)
+    return np.where(known, top, -1), np.where(known, conf, 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    names = np.array([*(model.langs if model is not None else []), "und"], object)
 
     def score(batches):
         for b in sub_batches(batches):
-            data, offs = text_buffer(b.column(1))
-            rows = len(offs) - 1
-            known = has_letter(data, offs) & (model is not None)
-            best, conf = np.zeros(rows, np.int64), np.zeros(rows)
-            for i in range(0, rows if model is not None else 0, CHUNK):
-                j = min(rows, i + CHUNK)
-                s = model.scores(spectra(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                best[i:j] = s.argmax(1)
-                conf[i:j] = np.clip((s.max(1) + 1) / 2, 0, 1)
-            names = np.array([*(model.langs if model is not None else []), "und"], object)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[np.where(known, best, -1)], pa.string()), pa.array(np.where(known, conf, 0.0), pa.float64())], names=["doc_id", "lang_pred", "score"])
+            top, conf = best(model, *text_buffer(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[top], pa.string()), pa.array(conf)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -165,9 +177,13 @@ def op7_langid(spark, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.05, **options) -> DataFrame:
-    """The documents whose language is known: `und` and scores below `least` go."""
-    model = train(docs, **options)
-    names = docs.columns
-    known = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(known, docs["doc_id"] == known["_id"], "left_semi").select(*names)
+def keep_known(docs: DataFrame, least: float = 0.05, text_col: str = "text", **options) -> DataFrame:
+    """The documents whose language is known: `und` and scores below `least` go.  No shuffle."""
+    model = train(docs, text_col=text_col, **options)
+
+    def run(batches):
+        for b in sub_batches(batches, text_col):
+            top, conf = best(model, *text_buffer(b.column(b.schema.get_field_index(text_col))))
+            yield b.filter(pa.array((top >= 0) & (conf >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
