@@ -19,7 +19,7 @@ def running_findings(findings: DataFrame) -> DataFrame:
 
 def event_counts(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per event type and event-time window; later rows than `late` are dropped."""
-    kept = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
+    kept = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     return kept.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
