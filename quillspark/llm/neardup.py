@@ -456,6 +456,19 @@ def op3_neardup(spark, sf_dir: str) -> DataFrame:
     return classes_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) AS g FROM dw WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT i, j FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * inter >= 75 * (x.n + y.n - inter)),
+e AS (SELECT i AS u, j AS v FROM k UNION SELECT j, i FROM k),
+r AS (SELECT u AS doc_id, u AS reach FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reach),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are not the smallest doc_id of their component."""
     gone = classes_of(docs, **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct()

@@ -7,9 +7,9 @@ from quillspark.llm.decontaminate import OP6_SQL, op6_decontaminate
 from quillspark.llm.langid import op7_langid
 from quillspark.llm.licenses import op5_licenses
 from quillspark.llm.mixing import op10_mixing
-from quillspark.llm.neardup import op3_neardup
+from quillspark.llm.neardup import OP3_SQL, op3_neardup
 from quillspark.llm.secrets import op8_secrets
-from quillspark.llm.substring import op9_substring
+from quillspark.llm.substring import OP9_SQL, op9_substring
 from quillspark.llm.tokenstream import op1_tokenstream
 from quillspark.llm.toxicity import op2_toxicity
 
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_decontaminate": OP6_SQL}
+    return {"op3_neardup": OP3_SQL, "op6_decontaminate": OP6_SQL, "op9_substring": OP9_SQL}

@@ -308,3 +308,19 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
 def op9_substring(spark, sf_dir: str) -> DataFrame:
     """Contract query: words removed as repeats of an earlier document's passage."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS k, w FROM dw WHERE len(w) >= 13),
+b AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 12], ' ')) AS name FROM x),
+l0 AS (SELECT doc_id, k, name, min(doc_id) OVER (PARTITION BY name) AS lo, max(doc_id) OVER (PARTITION BY name) AS hi FROM b),
+lv AS (SELECT 13 AS length, doc_id, k, name FROM l0 WHERE lo < hi
+ UNION ALL SELECT length, doc_id, k, name FROM (SELECT *, min(doc_id) OVER (PARTITION BY name) AS lo, max(doc_id) OVER (PARTITION BY name) AS hi
+  FROM (SELECT 2 * p.length AS length, p.doc_id, p.k, md5(p.name || q.name) AS name FROM lv p JOIN lv q ON p.doc_id = q.doc_id AND q.k = p.k + p.length)) WHERE lo < hi),
+g AS (SELECT DISTINCT doc_id, k + unnest(range(0, 13)) AS k FROM l0 WHERE lo < doc_id),
+f AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM dw),
+t AS (SELECT f.doc_id, count(*) AS n, count(g.k) AS gone, string_agg(word, ' ' ORDER BY f.k) FILTER (g.k IS NULL) AS kept FROM f LEFT JOIN g ON g.doc_id = f.doc_id AND g.k = f.k GROUP BY f.doc_id),
+m AS (SELECT doc_id, max(length) AS longest FROM lv GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0) AS n_words, coalesce(t.gone, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256, CAST(coalesce(m.longest, 0) AS BIGINT) AS longest FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
