@@ -19,10 +19,10 @@ def ordinals(rows: DataFrame, order: str, out: str = "n") -> DataFrame:
     return dealt.withColumn("_r", inside).join(before, "_p").withColumn(out, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
 
 
-def source_records(pages: DataFrame, id_order: str = "ord", text_col: str = "text", url_col: str = "url") -> DataFrame:
+def source_records(pages: DataFrame, id_order: str = "ord", text_col: str = "text") -> DataFrame:
     """Usable pages as S1, S2, ... in order."""
     good = pages.where(text.usable(F.col(text_col)))
-    return ordinals(good, id_order).withColumn("id", F.concat(F.lit("S"), F.col("n").cast("string"))).withColumn("canonical_url", F.nullif(F.col(url_col), F.col(url_col)))
+    return ordinals(good, id_order).withColumn("id", F.concat(F.lit("S"), F.col("n").cast("string")))
 
 
 def canonical(url: Column, final_url: Column) -> Column:
