@@ -258,6 +258,30 @@ def test_alignment_of_recordings(spark):
     assert chroma.fingerprints(spark.createDataFrame([], "id long, audio binary")).count() == 0
 
 
+def test_recall_against_all_offsets(spark):
+    """Melodies in versions with changed notes, cuts and noise: all pairs at all offsets, by brute force."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(12):
+        tune = rng.integers(0, 24, 48)
+        for version in range(4):
+            t = tune.copy()
+            t[rng.integers(0, 48, version)] = rng.integers(0, 24, version)
+            rows.append((len(rows), tone(t[version * 2 :].tolist(), rng if version % 2 else None)))
+    of = chroma.classes(chroma.fingerprints(spark.createDataFrame(rows, "id long, audio binary"))).cache()
+    prints = {r["class_id"]: np.array(r["prints"], np.uint32) for r in of.collect()}
+    want = set()
+    for a, x in prints.items():
+        for b, y in prints.items():
+            for o in range(-len(y) + chroma.LEAST_OVERLAP, len(x) - chroma.LEAST_OVERLAP + 1) if a != b else ():
+                p, q = x[max(0, o) :], y[max(0, -o) :]
+                n = min(len(p), len(q))
+                if np.bitwise_count(p[:n] ^ q[:n]).sum() <= chroma.MOST_ERROR * 32 * n:
+                    want.add((a, b))
+    got = {(r["query_class"], r["class_id"]) for r in chroma.matches(of, of.select("id")).collect()}
+    assert len(want) > 60 and got <= want and len(got) / len(want) >= 0.9
+
+
 def test_chroma_query(spark, sf):
     got = chroma.op4_chroma(spark, sf).collect()
     assert len(got) == 500 and all(r["n_links"] == 0 or r["best_error"] <= chroma.MOST_ERROR for r in got)
