@@ -550,3 +550,10 @@ def test_pipeline(spark, sf):
 def test_registered_queries():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{i}" for i in range(1, 11)}
+
+
+def test_native_operators_have_no_python(spark, odd):
+    items = spark.createDataFrame([(0, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
+    plans = [licenses.base_scan(odd, "doc_id", "text"), licenses.scan(odd), decontaminate.find_leaks(odd, items), decontaminate.sketch(decontaminate.item_shingles(items, "item_id", "text"))]
+    for df in plans:
+        assert not re.search("Python|Pandas|Arrow|RDD Scan", df._jdf.queryExecution().executedPlan().toString())
