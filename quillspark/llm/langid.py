@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import sub_batches, text_buffer
+from quillspark.llm.shared import sub_batches, text_buffer, tidy
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -159,6 +159,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         for b in sub_batches(batches):
             top, conf = best(model, *text_buffer(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[top], pa.string()), pa.array(conf)], names=["doc_id", "lang_pred", "score"])
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -185,5 +186,6 @@ def keep_known(docs: DataFrame, least: float = 0.05, text_col: str = "text", **o
         for b in sub_batches(batches, text_col):
             top, conf = best(model, *text_buffer(b.column(b.schema.get_field_index(text_col))))
             yield b.filter(pa.array((top >= 0) & (conf >= least)))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -99,6 +99,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), binary_rows(keys.reshape(-1), held * BANDS), binary_rows(sig.reshape(-1), held * BINS)],
                 names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
             )
+        tidy()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands binary, sig binary")
@@ -170,6 +171,7 @@ def prune(pairs: DataFrame, classes: DataFrame, miss: float, percent: int) -> Da
                     seen[live] += (some & (p == q)).sum(1)
                     live = live[seen[live] >= need[filled[live]]]
                 yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(live)), s.column(1).take(pa.array(live))], names=["a", "b"])
+        tidy()
 
     of = lambda s: classes.select(F.col("cid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -224,6 +226,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             kept = pa.array(np.flatnonzero(ok), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
+        tidy()
 
     of = lambda s: sets.select(F.col("cid").alias(s), F.col("words").alias(f"words_{s}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
@@ -411,6 +414,7 @@ def _blocks(open_: DataFrame, sets: DataFrame, own: DataFrame, percent: int, mis
             both = np.add.reduceat(held[code], first)[live]
             yes = live[100 * both >= percent * (n[x] + n[y[live]] - both)]
             found += [(min(cid[x], c), max(cid[x], c)) for c in cid[y[yes]]]
+        tidy()
         return pa.table([pa.array([int(v[i]) for v in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     both = members.select(*columns).unionByName(outside.select(*columns))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 2 << 20
 U64 = np.uint64
 
 

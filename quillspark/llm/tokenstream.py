@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import rans
-from quillspark.llm.shared import BYTE_VALUES, MULTS, SPACE, Powers, binary_rows, drop_folder, mix, new_folder, release, sub_batches, text_buffer
+from quillspark.llm.shared import BYTE_VALUES, MULTS, SPACE, Powers, binary_rows, drop_folder, mix, new_folder, release, sub_batches, text_buffer, tidy
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
@@ -170,6 +170,7 @@ def _id_table(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[D
             raw = np.frombuffer(b.column(4).buffers()[2], "<u4")
             bounds = np.concatenate([[0], np.cumsum(b.column(3).to_numpy())])
             yield pa.RecordBatch.from_arrays([*b.columns[:4], binary_rows(raw.astype("<u2"), bounds)], names=b.schema.names)
+        tidy()
 
     small = Tokens.of(path).tokenizer.get_vocab_size() <= 1 << 16
     return dealt.mapInArrow(narrow if small else tokenize, f"doc_id {kind}, part int, local long, n long, ids binary"), "<u2" if small else "<u4"
@@ -219,6 +220,7 @@ def write_stream(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_IDS, side="right")))
                 yield _coded(b.slice(at, to - at), n[at:to], part[at:to], local[at:to], coder)
                 at = to
+        tidy()
 
     def _coded(b, n, part, local, coder):
         flat = np.frombuffer(b"".join(b.column(4).to_pylist()), width).astype(np.uint32)
@@ -258,6 +260,7 @@ def read_stream(spark: SparkSession, out: str, with_ids: bool = False) -> DataFr
                 to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + BATCH_IDS, side="right")))
                 yield _decoded(batch.slice(at, to - at), coder)
                 at = to
+        tidy()
 
     def _decoded(b, coder):
         lens = b.column(2).to_pylist()
