@@ -1,8 +1,10 @@
 """TF-IDF vectors, cosine pairs and first-wins duplicates (AG1-AG5, J2, G8, J5).
 
 Pairs come from an inverted index over each vector's prefix only: with terms ordered from rare to
-frequent, a vector's prefix is the shortest one whose rest has a norm below the threshold; two unit
-vectors that share no prefix term cannot reach it.  Candidates are then verified on all terms.  Equal
+frequent, a vector's prefix is the shortest one whose rest has a norm of at most (1 - MARGIN) of the
+threshold.  Of two unit vectors, what the one with the shorter prefix shares beyond it adds at most that
+norm, so the products of shared prefix terms must sum to MARGIN of the threshold.  Candidates are then
+verified on all terms.  Equal
 vectors are grouped first, so copies never multiply the pairs.
 """
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import tokens, white_words
 from quillspark.storage import cut
 
+MARGIN = 0.1
+
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """AG1: (doc_id, term, n, tf)."""
@@ -63,11 +67,13 @@ def representatives(vectors: DataFrame) -> DataFrame:
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """J2, AG5: (i, j, sim) with i < j and sim >= threshold > 0, of unit vectors (doc_id, term, df, w)."""
+    most = (1 - MARGIN) * threshold  # norm of what stands behind a prefix
     rest = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("rest") >= (threshold - 1e-9) ** 2).select("doc_id", "term").where("term is not null")
+    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("rest") >= (most - 1e-9) ** 2).select("doc_id", "term", "w")
     shared = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("term")
     prefix = prefix.join(shared, "term")
-    candidates = prefix.select("term", F.col("doc_id").alias("i")).join(prefix.select("term", F.col("doc_id").alias("j")), "term").where("i < j").select("i", "j").distinct()
+    partial = prefix.select("term", F.col("doc_id").alias("i"), F.col("w").alias("p")).join(prefix.select("term", F.col("doc_id").alias("j"), F.col("w").alias("q")), "term").where("i < j")
+    candidates = partial.groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("s")).where(F.col("s") >= threshold - most - 1e-9).select("i", "j")
     left = candidates.join(vectors.select(F.col("doc_id").alias("i"), "term", F.col("w").alias("wi")), "i")
     both = left.join(vectors.select(F.col("doc_id").alias("j"), "term", F.col("w").alias("wj")), ["j", "term"])
     return both.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")).where(F.col("sim") >= threshold)
