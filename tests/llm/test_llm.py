@@ -426,6 +426,18 @@ def test_secret_scan_of_odd_rows(spark, odd):
     assert secrets.scan(odd).count() == 10 and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secrets_at_the_start_of_a_text(spark):
+    """A secret is found whatever text stands before it in the batch."""
+    rng = random.Random(5)
+    keys = ["AKIA" + "Q7Z2" * 4, "0123456789abcdef" * 2, "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(40))]
+    texts = ["", keys[0], "ends here.", keys[0], keys[1] + " x", keys[0], "a word", keys[2], None, "", keys[1], "x.", keys[0][:9], keys[0][9:], "ab", keys[2] + "."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["base"]] for r in secrets.scan(rows).collect()}
+    assert got == {i: secrets.scan_text(t or "")[0] for i, t in enumerate(texts)} and [i for i in got if got[i]] == [1, 3, 4, 5, 10]
+    found = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(rows, q=0.0).collect()}
+    assert found[7] == found[15] == 1
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 
