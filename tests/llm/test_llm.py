@@ -282,6 +282,40 @@ def test_recall_against_all_offsets(spark):
     assert len(want) > 60 and got <= want and len(got) / len(want) >= 0.9
 
 
+def test_recall_under_spread_noise(spark):
+    """Each bit of a fingerprint flipped with the same chance; and errors of a fifth that leave some integers whole."""
+    rng = np.random.default_rng(4)
+    rows, rates = [], (0.05, 0.1, 0.15, 0.2)
+    for i in range(200):
+        a = rng.integers(0, 2**32, 120, dtype=np.uint64)
+        flips = (rng.random((120, 32)) < rates[i % 4]) @ (1 << np.arange(32, dtype=np.uint64))
+        half = np.where(np.arange(120) % 5 < 3, a, rng.integers(0, 2**32, 120, dtype=np.uint64))
+        rows += [(3 * i + k, 3 * i + k, x.astype(np.int64).tolist()) for k, x in enumerate((a, (a ^ flips.astype(np.uint64))[7:], half))]
+    of = spark.createDataFrame(rows, "id long, class_id long, prints array<long>").cache()
+    got = {(r["query_class"], r["class_id"]): r for r in chroma.matches(of, of.where("id % 3 = 0").select("id")).collect()}
+    recall = [sum((3 * i, 3 * i + 1) in got for i in range(k, 200, 4)) / 50 for k in range(4)]
+    print("recall at", rates, recall)
+    assert recall[0] == 1 and recall[1] >= 0.8
+    assert all(0.15 < got[3 * i, 3 * i + 2]["error"] <= 0.25 for i in range(200)) and all(r["offset"] == 7 * (b % 3 == 1) for (_, b), r in got.items())
+
+
+def test_chroma_tries_every_offset(spark):
+    """The offset with most hits is no match; the one with fewer hits is."""
+    rng = np.random.default_rng(6)
+    a, both = rng.integers(0, 2**32, 100).tolist(), rng.integers(0, 2**32, 10).tolist()
+    c = [x ^ 0x11 if i > 4 else x for i, x in enumerate(a)]
+    a[60:70] = c[40:50] = both  # ten hits at offset 20, five at 0
+    of = spark.createDataFrame([(1, 1, a), (2, 2, c)], "id long, class_id long, prints array<long>")
+    got = chroma.matches(of, of.where("id = 1").select("id")).collect()
+    assert [(r["class_id"], r["offset"]) for r in got] == [(2, 0)]
+
+
+def test_chroma_renders_all_components(spark):
+    v = spark.createDataFrame([(1, [0.1] * 64), (2, [0.1] * 63 + [-0.9])], "vec_id long, embedding array<double>")
+    a, b = (bytes(r["audio"]) for r in chroma.render(v).orderBy("id").collect())
+    assert len(a) == 64 * 4 * chroma.HOP and a != b
+
+
 def test_chroma_query(spark, sf):
     got = chroma.op4_chroma(spark, sf).collect()
     assert len(got) == 500 and all(r["n_links"] == 0 or r["best_error"] <= chroma.MOST_ERROR for r in got)
