@@ -146,7 +146,7 @@ def _traverse(spark, sf, variant):
     docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
     v = inputs.concepts(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").alias("component"), "concepts").join(docs, "id")
     e = table(spark, sf, "embeddings")
-    near = vectors.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
+    near = vectors.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
     starts = near.select("query_id", F.col("vec_id").alias("id")).join(v.select("id"), "id", "left_semi")
     edges = _edges(spark, sf, variant).join(v.select(F.col("id").alias("src")), "src", "left_semi").join(v.select(F.col("id").alias("dst")), "dst", "left_semi")
     return graph.traverse(starts, v, edges, variant).withColumn("distance", F.round("distance", 6))
@@ -421,7 +421,7 @@ def report_markdown(spark, sf):
 @query
 def ingest_counts(spark, sf):
     """AG14: chunks of each document, and edges among its first ones by offline embeddings."""
-    c = chunks.chunks(_docs(spark, sf).where("doc_id % 10 = 0"))
+    c = chunks.chunks(_docs(spark, sf))
     rows = c.select("document_id", F.xxhash64("id").alias("vec_id"), providers.hashed_embedding(F.col("text")).alias("embedding"), providers.concepts(F.col("text")).alias("concepts"))
     e = vectors.edges(rows, 0.8).join(rows.select(F.col("vec_id").alias("src"), "document_id"), "src")
     edges = e.groupBy("document_id").agg(F.count(F.lit(1)).alias("edge_count"))
