@@ -93,7 +93,7 @@ reserved | 3 | 0.6 | derechos reservados | todos los derechos reservados
 some-reserved | 3 | 0.5 | reserved | some rights reserved
 proprietary | 3 | 0.7 | proprietary | proprietary and confidential
 proprietary | 3 | 0.7 | confidential | confidential and proprietary
-proprietary | 3 | 0.6 | reproduc | (?:may not|must not|shall not) be (?:copied|reproduced|distributed|redistributed)
+proprietary | 3 | 0.6 | be copied;be reproduced;be distributed;be redistributed | (?:may not|must not|shall not) be (?:copied|reproduced|distributed|redistributed)
 proprietary | 3 | 0.6 | permission | without (?:the )?(?:prior |express )?(?:written )?permission
 public-domain | 3 | 0.7 | public domain | (?:released|dedicated|placed|belongs) (?:in|into|to) the public domain
 public-domain | 4 | 0.4 | public domain | public domain

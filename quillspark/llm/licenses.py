@@ -33,6 +33,11 @@ def phrase_regex(phrase: str) -> str:
     return rf"(?<![^{GAP}])" + rf"[{GAP}]+".join(phrase.split()) + rf"(?![^{GAP}])"
 
 
+def _single_spaced(column: str) -> F.Column:
+    """White space as keywords have it, where rules take any run of it."""
+    return F.regexp_replace(column, r"\s+", " ")
+
+
 def _holds_any(column: str, keywords) -> F.Column:
     return reduce(lambda a, b: a | b, [F.contains(F.col(column), F.lit(k)) for k in sorted(keywords)])
 
@@ -41,7 +46,7 @@ def base_scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (text hash), n_words, n_base, first_word, last_word, base (labels), t (gated text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER).alias("t"))
     words = lambda c: F.regexp_count(c, F.lit(WORD))
-    rows = rows.withColumn("n_words", words(F.col("t")).cast("long"))
+    rows = rows.withColumn("n_words", words(F.col("t")).cast("long")).withColumn("g", _single_spaced("t"))
     n, firsts, lasts, labels = [], [], [], []
     for i, (phrase, label) in enumerate(PHRASES):
         parts = phrase.split()
@@ -56,7 +61,7 @@ def base_scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(
         "doc_id", F.xxhash64("t").alias("th"), "n_words", sum(n).cast("long").alias("n_base"),
         F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
-        F.array_compact(F.array(*labels)).alias("base"), F.when(_holds_any("t", keywords), F.col("t")).alias("t"),
+        F.array_compact(F.array(*labels)).alias("base"), F.when(_holds_any("g", keywords), F.col("t")).alias("t"),
     )
 
 
@@ -65,7 +70,7 @@ def detections(gated: DataFrame) -> DataFrame:
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(w).alias("weight"), F.array(*map(F.lit, k.split(";"))).alias("keywords"), F.lit(x).alias("regex")) for i, label, p, w, k, x in rules()])
     spark = gated.sparkSession
     named = spark.range(1).select(table.alias("rules"))  # one row of fixed size
-    with_rules = gated.join(F.broadcast(named)).select("doc_id", "th", "t", F.explode(F.expr("filter(rules, r -> exists(r.keywords, k -> contains(t, k)))")).alias("r"))
+    with_rules = gated.withColumn("g", _single_spaced("t")).join(F.broadcast(named)).select("doc_id", "th", "t", F.explode(F.expr("filter(rules, r -> exists(r.keywords, k -> contains(g, k)))")).alias("r"))
     hit = with_rules.where(F.expr("t rlike r.regex"))
     hit = hit.select("doc_id", "th", "r.rule", "r.label", "r.priority", "r.weight", F.expr("transform(split(t, r.regex, -1), x -> length(x))").alias("gaps"), F.expr("transform(regexp_extract_all(t, r.regex, 0), x -> length(x))").alias("runs"))
     each = hit.select("doc_id", "th", "rule", "label", "priority", "weight", F.posexplode(F.arrays_zip("gaps", "runs")).alias("k", "x")).where("x.runs is not null")

@@ -365,6 +365,19 @@ def test_license_rules(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_names_over_line_ends(spark):
+    """The gates let through what the rules match, whatever white space is between the words."""
+    cases = {
+        "GNU General\nPublic License version 2": "gpl,gpl-2.0",
+        "the ISC\n   License": "isc",
+        "in the public\t domain": "public-domain",
+        "Creative\r\nCommons": "creative-commons",
+        "It must not be  copied": "proprietary",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"))
+    assert [r["labels"] for r in got.orderBy("doc_id").collect()] == list(cases.values())
+
+
 def test_license_suppression_equals_brute_force(spark):
     rng = random.Random(4)
     rows = []
