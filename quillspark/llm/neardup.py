@@ -1,25 +1,30 @@
 """MinHash near-duplicate classes with sequential Bayesian verification.
 
-1. One pass over the texts gives each document's shingle count, a 128-bit hash of its shingle set, the
-   keys of its 32 MinHash bands, and a one-permutation sketch of 256 bins for comparing.  Documents
-   with one shingle set form a class, carried by its smallest doc_id.
-2. In each band's bucket every class is paired with the bucket's smallest class, and likewise in the finer
+1. One pass over the texts gives each document's shingle count, a 128-bit hash of its shingle set (64 bits
+   from each of two independent word hashes), the keys of its 32 MinHash bands, and a one-permutation
+   sketch of 256 bins for comparing.  Documents with one shingle set form a class, carried by its first row.
+2. In each band's bucket every class is paired with the bucket's first class, and likewise in the finer
    bucket of this and the next band; a bucket of n gives fewer than 2 n pairs.
 3. Pairs are compared in batches of bins.  After each batch the posterior of the similarity (uniform
    prior, binomial matches) is asked for P(similarity >= threshold); below `miss` the pair is dropped.
-4. Survivors are verified on their full shingle sets, and links joined to components.
+4. Survivors are verified on the words of their whole texts, and links joined to components.
 5. Buckets that still hold more than one component are refined: their members outside the largest
    component are first paired among themselves as in step 2 and with the members of it that have most
    links.  What then still stands outside is compared with all members of other components, by pairs in
-   small buckets, block against block in large ones.  Sizes, shingles that no other open document has, and
-   sketches rule most out before the exact test.  A bucket with very many outside is first banded
-   again by its members' sketches.
+   small buckets, block against block in large ones (a block is bounded in members and in shingles).
+   Sizes, shingles that no other open document has, and sketches rule most out; the rest is verified as in
+   step 4.  A bucket with very many outside is first banded again by its members' sketches.
 
-The banding finds a pair of similarity 0.75 with probability 1 - (1 - 0.75^4)^32 > 1 - 6e-6.
+Chances to miss a link of similarity 0.75: banding less than 6e-6, banding again likewise (64 bands of 6),
+the sequential test `miss` a pair, the sketch bits of a small bucket four standard deviations (3e-5).
+
+Keys that hold more than a twenty-thousandth of a table's rows (so fewer than 20,000 keys) are joined by
+broadcast, the others by shuffle, so that no task gets a hot bucket.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts of fewer words than
-a shingle have all their words as one; rows that repeat a doc_id count as one document in links; very
-long texts are used whole; other columns are not read.
+a shingle have all their words as one; rows that repeat a doc_id are rows of their own, with a
+component's smallest doc_id as its id; a null doc_id comes after all others; ids may be of any type that sorts;
+very long texts are used whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import MULTS, U64, Powers, binary_rows, mix, release, shingle_sets, sub_batches, text_buffer, tidy, word_bounds, word_hashes, written
+from quillspark.llm.shared import MULTS, U64, binary_rows, identified, mix, release, shingle_sets, sub_batches, text_buffer, tidy, word_bounds, word_hashes, written
 
 WIDTH = 5
 PERCENT = 75
@@ -38,13 +43,14 @@ HASHES = 128
 ROWS = 4
 BANDS = HASHES // ROWS
 BINS = 256
-SUB_BANDS, SUB_ROWS = 16, 6
+SUB_BANDS, SUB_ROWS = 64, 6
 FEW_OUTSIDE = 1024
 SMALL_BUCKET = 32
-BLOCK_MEMBERS, BLOCK_OUTSIDE = 1024, 256
+BLOCK_MEMBERS, BLOCK_OUTSIDE, BLOCK_SHINGLES = 1024, 256, 1 << 20
 BATCH_BINS = 32
 FILTER_BITS = 1 << 27
-MISS = 1e-4
+MISS = 1e-6
+HEAVY_KEYS = 20_000
 _seeds = np.random.default_rng(424242)
 PERM_A = _seeds.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 PERM_B = _seeds.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -76,33 +82,31 @@ def bins(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out.reshape(rows, BINS)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (hash of the set), bands (keys), sig (bins); null without shingles."""
+def sketch(rows: DataFrame) -> DataFrame:
+    """rid, n_shingles, k1, k2 (hashes of the set), bands (keys), sig (bins); null without shingles."""
 
     def run(batches):
-        powers = Powers()
         for b in sub_batches(batches):
             data, offs = text_buffer(b.column(1))
-            starts, _, first = word_bounds(data, offs)
-            h, row = shingle_sets(word_hashes(data, starts, powers, lower=True), first, WIDTH)
+            starts, ends, first = word_bounds(data, offs)
+            h, row, other = shingle_sets(word_hashes(data, starts, ends, lower=True), first, WIDTH, word_hashes(data, starts, ends, lower=True, lane=1))
             n = np.bincount(row, minlength=b.num_rows)
             k = np.zeros((2, b.num_rows), np.uint64)
             rows, values = signatures(h, row)
             if len(rows):
                 at = np.flatnonzero(np.diff(row, prepend=-1))
                 k[0, rows] = np.add.reduceat(mix(h ^ MULTS[7]), at)
-                k[1, rows] = np.add.reduceat(mix(h ^ MULTS[8]), at)
+                k[1, rows] = np.add.reduceat(mix(other ^ MULTS[8]), at)
             keys = mix((values.astype(np.uint64).reshape(-1, BANDS, ROWS) * MULTS[21 : 21 + ROWS]).sum(2) + np.arange(BANDS, dtype=np.uint64) * MULTS[20])
             held = np.concatenate([[0], np.cumsum(n > 0)])
             sig = bins(h, row, b.num_rows)[n > 0]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), binary_rows(keys.reshape(-1), held * BANDS), binary_rows(sig.reshape(-1), held * BINS)],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+                names=["rid", "n_shingles", "k1", "k2", "bands", "sig"],
             )
         tidy()
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands binary, sig binary")
+    return rows.select("rid", "text").mapInArrow(run, "rid long, n_shingles long, k1 long, k2 long, bands binary, sig binary")
 
 
 def _matrix(column, kind: str, width: int) -> np.ndarray:
@@ -188,8 +192,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, words): the sorted shingle hashes of the documents in ids (cid), and of a few others.
+def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, text) of the rows in ids (cid), and of a few others.
 
     A filter of bounded size goes to the scan of the texts, so that texts are not shuffled; the others are
     its false hits, which later joins leave out.
@@ -197,51 +201,112 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     have = id_filter(ids)
 
     def run(batches):
-        powers = Powers()
         for whole in batches:
             at = whole.column(2).to_numpy()
             hit = (have[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1)
-            whole = whole.take(pa.array(np.flatnonzero(hit)))
-            for b in sub_batches([whole]):
-                data, offs = text_buffer(b.column(1))
-                starts, _, first = word_bounds(data, offs)
-                h, row = shingle_sets(word_hashes(data, starts, powers, lower=True), first, WIDTH)
-                yield pa.RecordBatch.from_arrays([b.column(0), binary_rows(h, np.searchsorted(row, np.arange(b.num_rows + 1)))], names=["cid", "words"])
-        tidy()
+            yield whole.select([0, 1]).take(pa.array(np.flatnonzero(hit)))
 
     place = F.pmod(F.xxhash64("cid"), F.lit(64 * len(have))).alias("p")
-    picked = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("string").alias("text")).where("text is not null and cid is not null")
-    return picked.select("cid", "text", place).mapInArrow(run, "cid long, words binary")
+    return rows.where("text is not null").select(F.col("rid").alias("cid"), "text").select("cid", "text", place).mapInArrow(run, "cid long, text string")
+
+
+def hashed_sets(texts: DataFrame) -> DataFrame:
+    """(cid, words): the sorted shingle hashes of each text."""
 
+    def run(batches):
+        for b in sub_batches(batches):
+            data, offs = text_buffer(b.column(1))
+            starts, ends, first = word_bounds(data, offs)
+            h, row = shingle_sets(word_hashes(data, starts, ends, lower=True), first, WIDTH)
+            yield pa.RecordBatch.from_arrays([b.column(0), binary_rows(h, np.searchsorted(row, np.arange(b.num_rows + 1)))], names=["cid", "words"])
+        tidy()
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of the full sets."""
+    return texts.select("cid", "text").mapInArrow(run, "cid long, words binary")
+
+
+def shingle_codes(ids: np.ndarray, kinds: int) -> np.ndarray:
+    """Distinct codes of the shingles of words numbered below `kinds`, exact: equal codes are equal words."""
+    if len(ids) < WIDTH:
+        return np.zeros(0, np.int64)
+    code = ids[: len(ids) - WIDTH + 1].copy()
+    for j in range(1, WIDTH):
+        code = code * kinds + ids[j : j + len(code)]
+    return code
+
+
+def both_sizes(x: list[bytes], y: list[bytes]) -> tuple[int, int, int]:
+    """(shingles of x, of y, of both), told apart by their words."""
+    number: dict[bytes, int] = {}
+    p, q = (np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in (x, y))
+    if min(len(p), len(q)) < WIDTH:
+        return max(1, len(p) - WIDTH + 1), max(1, len(q) - WIDTH + 1), int(x == y and len(x) > 0)
+    kinds = len(number)
+    if kinds ** WIDTH < 2**62:
+        a, b = np.unique(shingle_codes(p, kinds)), np.unique(shingle_codes(q, kinds))
+    else:  # number the pairs, then the fours, then the fives
+        cut, m = len(p), len(p) + len(q)
+        flat = np.concatenate([p, q])
+        two = np.unique(flat[:-1] * kinds + flat[1:], return_inverse=True)[1]
+        four = np.unique(two[:-2] * (int(two.max()) + 1) + two[2:], return_inverse=True)[1]
+        five = four[: m - WIDTH + 1] * kinds + flat[WIDTH - 1 :]
+        a, b = np.unique(five[: cut - WIDTH + 1]), np.unique(five[cut:])
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union, on the words of the whole texts."""
 
     def run(batches):
+        last, x = None, []
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            for k, s, t in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if k != last:  # pairs come sorted by a
+                    last, x = k, s.as_buffer().to_pybytes().lower().split()
+                n, m, both = both_sizes(x, t.as_buffer().to_pybytes().lower().split())
+                ok.append(100 * both >= percent * (n + m - both))
             kept = pa.array(np.flatnonzero(ok), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
         tidy()
 
-    of = lambda s: sets.select(F.col("cid").alias(s), F.col("words").alias(f"words_{s}"))
+    of = lambda s: texts.select(F.col("cid").alias(s), F.col("text").alias(f"text_{s}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def by_key(rows: DataFrame, facts: DataFrame, key: str, n: str = "_n") -> DataFrame:
+    """rows joined with facts, one row a key whose column `n` counts the key's rows; hot keys by broadcast.
+
+    A key is hot with more than 1 / HEAVY_KEYS of the rows, so fewer than HEAVY_KEYS rows are broadcast.
+    """
+    facts, _ = written(facts, "facts")
+    total = facts.agg(F.sum(n)).collect()[0][0] or 0
+    hot = F.col(n) * HEAVY_KEYS > total
+    hot = hot & (F.col(n) > 100)
+    few = facts.where(hot)
+    heavy = rows.join(F.broadcast(few), key)
+    light = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~hot), key)
+    return heavy.unionByName(light)
 
 
 def classes_of(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    rows, _ = written(sketch(docs, id_col, text_col), "sketch")
-    groups = rows.where("n_shingles > 0").groupBy("k1", "k2")
-    least = groups.agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("x"))
-    classes, _ = written(least.select("k1", "k2", F.col("x.doc_id").alias("cid"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sig"), "classes")
-    # one sketch for each id, should a doc_id be repeated with other texts
-    one = classes.groupBy("cid").agg(F.min(F.struct("n", "bands", "sig")).alias("x")).select("cid", "x.n", "x.bands", "x.sig") if _repeats(classes) else classes.select("cid", "n", "bands", "sig")
-    test = Tester(docs, one, id_col, text_col, percent, miss)
+    rows = identified(docs, id_col, text_col)
+    of_row = row_classes(rows, percent, miss)
+    names = rows.select(F.col("rid").alias("first"), F.col("doc_id").alias("component_id"))
+    out = of_row.join(rows.select("rid", "doc_id"), "rid").join(names, "first")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def row_classes(rows: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """rows (rid, text) -> (rid, n_shingles, first): first is the smallest rid of the row's component."""
+    spark = rows.sparkSession
+    sketches, _ = written(sketch(rows), "sketch")
+    groups = sketches.where("n_shingles > 0").groupBy("k1", "k2")
+    least = groups.agg(F.min(F.struct("rid", "n_shingles", "bands", "sig")).alias("x"))
+    classes, _ = written(least.select("k1", "k2", F.col("x.rid").alias("cid"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sig"), "classes")
+    one = classes.select("cid", "n", "bands", "sig")
+    test = Tester(rows, one, percent, miss)
     buckets = bands(one)
     for depth in (0, 1):
         big = buckets.groupBy("key").agg(F.min("cid").alias("p"), F.max("cid").alias("q")).where("p < q").select("key")
@@ -250,36 +315,32 @@ def classes_of(docs: DataFrame, id_col="doc_id", text_col="text", percent: int =
         open_, _ = written(_open(held, test.comp), "open")
         before = test.comp
         test.link(_stars(open_.where("comp <> main")).unionByName(_hubs(open_, test.links)).distinct())
-        release(docs.sparkSession)
+        release(spark)
         if test.comp is not before:
             open_, _ = written(_open(open_.select("key", "fine", "cid"), test.comp), "open")
         many = F.col("outside") > FEW_OUTSIDE
         ids = open_.select("cid").distinct()
-        sets, _ = written(full_sets(docs, ids, id_col, text_col).join(ids, "cid", "left_semi"), "open-sets")
+        texts, _ = written(texts_of(rows, ids).join(ids, "cid", "left_semi"), "open-texts")
+        sets, _ = written(hashed_sets(texts), "open-sets")
         own, _ = written(own_shingles(sets), "own")
         rest = open_ if depth else open_.where(~many)
-        test.link(_across(rest.where(F.col("size") <= SMALL_BUCKET), one, own, percent), sets)
-        test.add(_blocks(rest.where(F.col("size") > SMALL_BUCKET), sets, own, percent, miss))
+        far = _blocks(rest.where(F.col("size") > SMALL_BUCKET), sets, own, percent, miss)
+        test.link(_across(rest.where(F.col("size") <= SMALL_BUCKET), one, own, percent), texts, far)
         if depth or open_.where(many).isEmpty():
             break
         buckets, _ = written(sub_bands(_open(open_.where(many).select("key", "fine", "cid"), test.comp).select("key", "cid"), one), "sub-bands")
-    of_row = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left")
+    of_row = sketches.select("rid", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left")
     of_row = of_row.withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid")))
     of_row = of_row.join(test.comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left")
-    component = F.coalesce("v", "cid", "doc_id")
-    return of_row.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
-def _repeats(classes: DataFrame) -> bool:
-    return not classes.groupBy("cid").count().where("count > 1").isEmpty()
+    return of_row.select("rid", "n_shingles", F.coalesce("v", "cid", "rid").alias("first"))
 
 
 def _stars(held: DataFrame) -> DataFrame:
     """Pairs (a, b) of each member with the smallest one of its bucket, and of its finer bucket."""
     parts = []
     for key in ("key", "fine"):
-        top = held.groupBy(key).agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").drop("z")
-        parts.append(held.select(key, F.col("cid").alias("b")).join(top, key).where("a < b").select("a", "b"))
+        top = held.groupBy(key).agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.count(F.lit(1)).alias("_n")).where("a < z").drop("z")
+        parts.append(by_key(held.select(key, F.col("cid").alias("b")), top, key).where("a < b").select("a", "b"))
     return parts[0].unionByName(parts[1]).distinct()
 
 
@@ -289,15 +350,20 @@ def _open(held: DataFrame, comp: DataFrame) -> DataFrame:
     of = held.join(comp.select(F.col("u").alias("cid"), F.col("v")), "cid", "left").select("key", "fine", "cid", F.coalesce("v", "cid").alias("comp"))
     per = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
-    return of.join(main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("outside"), F.col("n").alias("size")), "key")
+    return by_key(of, main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.n")).alias("outside"), F.col("n").alias("size")), "key", "size")
 
 
 def _hubs(open_: DataFrame, links: DataFrame, k: int = 4) -> DataFrame:
     """Pairs (a, b) of members outside a bucket's largest component with its k members of most links."""
     degree = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("d"))
-    top = Window.partitionBy("key").orderBy(F.desc("d"), "cid")
-    hubs = open_.where("comp = main").join(degree, "cid").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("key", F.col("cid").alias("hub"))
-    rows = open_.where("comp <> main").select("key", "cid").join(hubs, "key")
+    hubs = open_.where("comp = main").join(degree, "cid").select("key", "d", "cid", F.pmod(F.xxhash64("cid"), F.lit(256)).alias("part"))
+    for place in (["key", "part"], ["key"]):  # the best of each part of a bucket, then of the bucket
+        top = Window.partitionBy(*place).orderBy(F.desc("d"), "cid")
+        hubs = hubs.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
+    hubs = hubs.groupBy("key").agg(F.collect_list("cid").alias("hubs"))  # k ids at most
+    outside = open_.where("comp <> main").select("key", "cid")
+    sizes = outside.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).join(hubs, "key")
+    rows = by_key(outside, sizes, "key").select("cid", F.explode("hubs").alias("hub"))
     return rows.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
 
 
@@ -362,16 +428,20 @@ def _blocks(open_: DataFrame, sets: DataFrame, own: DataFrame, percent: int, mis
     """Links (a, b) across components of large buckets: a block of members meets a block of outside members
     in one task, which prunes by sketches, counts intersections and gives the links alone.
 
-    Buckets with the same members are looked at once.  A block has at most about BLOCK_MEMBERS members and
-    BLOCK_OUTSIDE outside ones, so a bucket's rows are copied once per block of the other side.
+    Buckets with the same members are looked at once.  A block has at most about BLOCK_MEMBERS members or
+    BLOCK_OUTSIDE outside ones, and BLOCK_SHINGLES shingles; a bucket's rows are copied once per block of the
+    other side.
     """
     need = least_matches(miss, percent)
     what = open_.groupBy("key").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("h"), F.max("size").alias("size"), F.max("outside").alias("outside"))
     once = what.groupBy("h", "size", "outside").agg(F.min("key").alias("key")).select("key")
     rows = open_.join(once, "key", "left_semi").select("key", "cid", "comp", "main", "size", "outside")
     rows = rows.join(own, "cid", "left").withColumn("own", F.coalesce("own", F.lit(0))).join(sets, "cid")
-    cells = lambda c, n: F.greatest(F.lit(1), F.ceil(F.col(c) / n)).cast("int")
-    rows = rows.withColumns({"nm": cells("size", BLOCK_MEMBERS), "no": cells("outside", BLOCK_OUTSIDE)})
+    weight = F.floor(F.octet_length("words") / 8)
+    weights = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("w"), F.sum(F.when(F.col("comp") != F.col("main"), weight).otherwise(0)).alias("wo"))
+    rows = by_key(rows, weights, "key")
+    cells = lambda c, n, w: F.greatest(F.lit(1), F.ceil(F.col(c) / n), F.ceil(F.col(w) / BLOCK_SHINGLES)).cast("int")
+    rows = rows.withColumns({"nm": cells("size", BLOCK_MEMBERS, "w"), "no": cells("outside", BLOCK_OUTSIDE, "wo")})
     place = F.xxhash64(F.lit(3), "cid")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.withColumn("m", F.pmod(place, F.col("nm")).cast("int")).withColumn("o", each("no")).withColumn("out", F.lit(False))
@@ -424,30 +494,24 @@ def _blocks(open_: DataFrame, sets: DataFrame, own: DataFrame, percent: int, mis
 class Tester:
     """Tests pairs and keeps links, tested pairs and components so far, each a written table."""
 
-    def __init__(self, docs, classes, id_col, text_col, percent, miss):
-        self.docs, self.classes, self.id_col, self.text_col, self.percent, self.miss = docs, classes, id_col, text_col, percent, miss
+    def __init__(self, rows, classes, percent, miss):
+        self.rows, self.classes, self.percent, self.miss = rows, classes, percent, miss
         self.links = self.tested = self.comp = None
 
-    def link(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
-        """Test pairs; sets: the full sets of their ids, if they are at hand."""
+    def link(self, pairs: DataFrame, texts: DataFrame | None = None, likely: DataFrame | None = None) -> None:
+        """Test pairs, and verify those of `likely` too; texts: of their ids, if they are at hand."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs, _ = written(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        left, _ = written(prune(pairs, self.classes, self.miss, self.percent), "survivors")
+        left = prune(pairs, self.classes, self.miss, self.percent)
+        left, _ = written(left if likely is None else left.unionByName(likely).distinct(), "survivors")
         if self.links is not None and left.isEmpty():
             return
-        if sets is None:
+        if texts is None:
             ids = left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "cid")
-            sets, _ = written(full_sets(self.docs, ids, self.id_col, self.text_col), "sets")
-        found, _ = written(verify(left, sets, self.percent), "links")
-        self._take(found)
-
-    def add(self, links: DataFrame) -> None:
-        """Take verified links."""
-        self._take(written(links, "links")[0])
-
-    def _take(self, found: DataFrame) -> None:
+            texts, _ = written(texts_of(self.rows, ids), "texts")
+        found, _ = written(verify(left, texts, self.percent), "links")
         if self.links is not None and found.isEmpty():
             return
         old = self.comp
@@ -473,7 +537,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 """
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that are not the smallest doc_id of their component."""
-    gone = classes_of(docs, **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of docs, that of the smallest doc_id, with docs' columns."""
+    rows = identified(docs, id_col, text_col, others=True)
+    gone = row_classes(rows.select("rid", "text"), **options).where("first <> rid").select("rid")
+    return rows.join(gone, "rid", "left_anti").select("doc.*")

@@ -1,7 +1,9 @@
 """Shared storage, Arrow text buffers and hashing for the corpus operators.
 
-Hashing works on whole Arrow buffers with numpy: a word's hash is the sum of a random 64-bit value
-per byte times powers of an odd base, finished with a bit mixer.
+Hashing works on whole Arrow buffers with numpy.  Words are hashed by tabulation: every byte value has a
+random 64-bit number for each of PLACES places in a word, a word's numbers are summed and mixed, and
+longer words sum the mixed hashes of their pieces.  So words that differ meet by chance only, whatever
+their structure.  Two lanes of independent tables give 128 bits.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ import gc
 import tempfile
 import time
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUB_BATCH_BYTES = 2 << 20
 U64 = np.uint64
@@ -65,6 +70,25 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str, others: bool = False) -> DataFrame:
+    """(rid, doc_id, text) with a long rid in the order of ids, nulls last; with `others`, (rid, doc: all columns).
+
+    rid is the id itself where that is a key of integers; else rows are sorted by id and text, numbered
+    and written, so that a row keeps its number whenever it is read.
+    """
+    content = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if others else []
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *content)
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        ids = picked.select("doc_id")
+        if ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+            return picked.withColumn("rid", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = picked.repartitionByRange(spread, *order).sortWithinPartitions(*order, "text")
+    return written(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")[0]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     for _ in range(2):
@@ -82,10 +106,9 @@ def tidy() -> None:
 
 # --- text buffers -------------------------------------------------------------------------------
 
+PLACES = 64
 _rng = np.random.default_rng(20240229)
-BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = int(0x9E3779B97F4A7C15)
-BASE_INV = pow(BASE, -1, 1 << 64)
+TABLES = _rng.integers(0, 2**64, (2, PLACES, 256), dtype=np.uint64)
 MULTS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,25 +116,6 @@ LOWER = np.arange(256)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base & (2**64 - 1)))
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of the base and of its inverse, grown on demand and kept for one task."""
-
-    def __init__(self):
-        self.up = _powers(BASE, 1 << 16)
-        self.down = _powers(BASE_INV, 1 << 16)
-
-    def need(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, min(2 * len(self.up), SUB_BATCH_BYTES + 4096))
-            self.up, self.down = _powers(BASE, n), _powers(BASE_INV, n)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finisher of 64-bit values."""
     h = h ^ (h >> U64(33))
@@ -170,15 +174,31 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, is_gap: np.ndarray = SPACE):
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, powers: Powers, lower: bool, is_gap: np.ndarray = SPACE) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, letters A-Z lowered if asked."""
+@cache
+def _table(lower: bool, lane: int) -> np.ndarray:
+    """[place * 256 + byte]: white space counts as nothing."""
+    out = (TABLES[lane][:, LOWER] if lower else TABLES[lane]).copy()
+    out[:, SPACE] = 0
+    return out.reshape(-1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, letters A-Z lowered if asked; lanes are independent."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers.need(len(data))
-    table = BYTE_VALUES[LOWER] if lower else BYTE_VALUES.copy()
-    table[is_gap] = 0
-    h = np.add.reduceat(table[data] * powers.up[: len(data)], starts)
-    return mix(h * powers.down[starts])
+    pieces = -(-(ends - starts) // PLACES)
+    at = starts
+    if long := int(pieces.max()) > 1:
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = np.repeat(starts, pieces) + nth * PLACES
+    place = np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64)[at[0] :]
+    place -= np.repeat(at.astype(place.dtype), np.diff(np.append(at, len(data))))
+    cell = ((place & (PLACES - 1)) << 8) | data[at[0] :]
+    h = np.add.reduceat(_table(lower, lane)[cell], at - at[0])
+    if long:
+        h = np.add.reduceat(mix(h + nth.astype(np.uint64) * MULTS[2]), np.cumsum(pieces) - pieces)
+        return mix(h + pieces.astype(np.uint64) * MULTS[3])
+    return mix(mix(h) + MULTS[3])
 
 
 def windows(words: np.ndarray, first: np.ndarray, width: int):
@@ -196,8 +216,8 @@ def windows(words: np.ndarray, first: np.ndarray, width: int):
     return mix(h[ok]), row[ok], pos[ok]
 
 
-def shingle_sets(words: np.ndarray, first: np.ndarray, width: int = 5):
-    """(hashes, rows): each row's distinct shingles, sorted; shorter rows give all words as one."""
+def shingles(words: np.ndarray, first: np.ndarray, width: int = 5):
+    """(hashes, rows) of each row's shingles; shorter rows give all words as one."""
     h, row, _ = windows(words, first, width)
     counts = np.diff(first)
     short = np.flatnonzero((counts > 0) & (counts < width))
@@ -208,11 +228,19 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, width: int = 5):
             whole[some] += words[first[short[some]] + j] * MULTS[j]
         whole += counts[short].astype(np.uint64) * MULTS[63]
         h, row = np.concatenate([h, mix(whole)]), np.concatenate([row, short])
+    return h, row
+
+
+def shingle_sets(words: np.ndarray, first: np.ndarray, width: int = 5, other: np.ndarray | None = None):
+    """(hashes, rows[, other lane's hashes]): each row's distinct shingles, sorted."""
+    h, row = shingles(words, first, width)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[keep], row[keep]
+    if other is None:
+        return h[keep], row[keep]
+    return h[keep], row[keep], shingles(other, first, width)[0][order][keep]
 
 
 def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

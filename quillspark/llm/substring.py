@@ -16,7 +16,7 @@ The words to remove follow from level 0 alone: all words of windows for which a
 known.  The higher levels give `longest`, a lower bound by doubling of the longest shared passage.
 
 Defined cases: null and empty texts have no words; rows that repeat a doc_id are taken as documents in
-the order of their texts; windows never span documents; very long texts are used whole; other columns
+a fixed order of their texts, null ids after all others; ids may be of any type that sorts; windows never span documents; very long texts are used whole; other columns
 are not read.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import MULTS, U64, Powers, binary_rows, drop_folder, mix, release, sub_batches, text_buffer, tidy, windows, word_bounds, word_hashes, written
+from quillspark.llm.shared import MULTS, U64, binary_rows, drop_folder, identified, mix, release, sub_batches, text_buffer, tidy, windows, word_bounds, word_hashes, written
 
 WIDTH = 13
 BLOCK_BYTES = 4 << 20
@@ -38,6 +38,12 @@ PACKED = "key long, local boolean, n long, rids binary, counts binary, places bi
 FOUND = "bucket int, rids binary, counts binary, places binary, names binary, later binary"
 
 
+def _runs(values: np.ndarray):
+    """(begin, end) of each run of equal values; none without values."""
+    cuts = np.flatnonzero(np.diff(values, prepend=-1))
+    return zip(cuts, np.append(cuts, len(values))[1:], strict=True)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """The bytes of each value, first all first bytes, then all second ones, and so on."""
     values = np.ascontiguousarray(values)
@@ -99,8 +105,7 @@ def _packed(h: np.ndarray, rid: np.ndarray, pos: np.ndarray, ranges: int):
         owner = (q * U64(ranges)) >> U64(32)
         by = np.argsort(owner.astype(np.uint16), kind="stable") if ranges <= 1 << 16 else np.argsort(owner, kind="stable")
         mine, owner = mine[by], owner[by].astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
+        for a, b in _runs(owner):
             s = mine[a:b]
             row(int(owner[a]), False, s, flag[s])
         if len(rest):
@@ -151,9 +156,8 @@ def _resolve(buckets: int, ranges: int):
         bucket = (mix(rid.astype(np.uint64)) % U64(buckets)).astype(np.int64)
         order = np.lexsort((pos, rid, bucket))
         rid, pos, name, later, bucket = rid[order], pos[order], name[order], later[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         out = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+        for a, b in _runs(bucket):
             rids, counts, places, _ = _pack_docs(rid[a:b], pos[a:b])
             out.append((int(bucket[a]), rids, counts, places, name[a:b].tobytes(), np.packbits(later[a:b]).tobytes()))
         columns = list(zip(*out, strict=True)) or [[]] * 6
@@ -188,39 +192,25 @@ REPEATED = "rid long, places binary, names binary, later binary"
 def _level(packed: DataFrame, ranges: int, buckets: int) -> tuple[DataFrame, str]:
     """One level's repeated windows, a row for each document that has any."""
     found, path = written(packed.repartition(ranges, "key").groupBy("key").applyInArrow(_resolve(buckets, ranges), FOUND), "found")
-    release(packed.sparkSession)
     rows = written(found.groupBy("bucket").applyInArrow(_assemble, REPEATED), "repeated")
     drop_folder(packed.sparkSession, path.rsplit("/", 1)[0])
     return rows
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc_id, text) with rid in the order of documents: doc_id itself where it is a key."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bad = picked.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if bad.isEmpty():
-        return picked.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    spark = docs.sparkSession
-    dealt = picked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("text"))
-    numbered = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").withColumn("rid", F.monotonically_increasing_id())
-    return written(numbered.select("rid", "doc_id", "text"), "numbered")[0]
-
-
 def find_repeats(rows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """rows (rid, text) -> (level 0's repeated windows per document, (rid, longest))."""
     spark = rows.sparkSession
     ranges = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def first(batches):
-        powers = Powers()
         for b in sub_batches(batches, limit=BLOCK_BYTES):
             rid = b.column(0).to_numpy()
             if (np.diff(rid) < 0).any():
                 b = b.take(pa.array(np.argsort(rid)))
                 rid = b.column(0).to_numpy()
             data, offs = text_buffer(b.column(1))
-            starts, _, at = word_bounds(data, offs)
-            h, row, pos = windows(word_hashes(data, starts, powers, lower=False), at, width)
+            starts, ends, at = word_bounds(data, offs)
+            h, row, pos = windows(word_hashes(data, starts, ends, lower=False), at, width)
             yield _packed(h, rid[row], pos, ranges)
         tidy()
 
@@ -248,6 +238,7 @@ def find_repeats(rows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
         return run
 
     level, _ = _level(rows.select("rid", "text").mapInArrow(first, PACKED), ranges, ranges)
+    release(spark)  # level 0's shuffle files, by far the largest
     ranges = max(8, ranges // 4)  # what is left is a small part of the windows
     base, length, longest = level, width, level.select("rid", F.lit(width).alias("length"))
     while True:
@@ -301,8 +292,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "longest", *(["kept_text"] if with_text else [])],
             )
 
+    kind = docs.schema[id_col].dataType.simpleString()
     joined = rows.join(facts, "rid", "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long" + ", kept_text string" * with_text)
+    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, longest long" + ", kept_text string" * with_text)
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ table; blocks are coded from it.  The driver sees one number for each range part
 vocabulary entry.
 
 Tokenizing splits a text where a white-space character follows another character, which the byte-level
-pre-tokenizer never joins, and tokenizes each distinct piece once per worker.
+pre-tokenizer never joins, and tokenizes each distinct piece once per worker.  Pieces are told apart by
+their bytes.  The text of a special token gives the token's id, as the tokenizers library has it.
 
 Defined cases: null and empty texts give the end id alone; rows that repeat a doc_id come in order of
 their texts, null first; an empty table writes no blocks; other columns are not read; a block whose
@@ -25,19 +26,18 @@ import sys
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import rans
-from quillspark.llm.shared import BYTE_VALUES, MULTS, SPACE, Powers, binary_rows, drop_folder, mix, new_folder, release, sub_batches, text_buffer, tidy
+from quillspark.llm.shared import SPACE, binary_rows, drop_folder, new_folder, release, sub_batches, text_buffer, tidy
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
 BATCH_IDS = 1 << 22
-CACHE_PIECES = 2_000_000
+CACHE_PIECES, CACHE_BYTES = 500_000, 32 << 20
 RUN_PIECES = 64
 TEXT_BYTES = 2 << 20
 GAP = SPACE.copy()
@@ -52,8 +52,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.powers = Powers()
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # byte-level vocabularies have one character a byte
@@ -61,9 +59,9 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.uint32)
-        self.count = np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}  # a piece's number
+        self.held = 0  # bytes of known pieces
+        self.place, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
@@ -75,7 +73,7 @@ class Tokens:
             known[path] = Tokens(path)
         return known[path]
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes], joinable: np.ndarray) -> None:
+    def _learn(self, texts: list[bytes], joinable: np.ndarray) -> None:
         """Tokenize new pieces.  Joinable ones go in long runs, cut again by their tokens' lengths."""
         pieces, counts = [], np.zeros(len(texts), np.int64)
         order = np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])
@@ -95,14 +93,14 @@ class Tokens:
         while self.filled + len(pieces) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.filled : self.filled + len(pieces)] = pieces
-        place = np.empty(len(texts), np.int64)
-        place[order] = self.filled + np.cumsum(counts[order]) - counts[order]
+        at = len(self.known)
+        while at + len(texts) > len(self.place):
+            self.place, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.count))
+        self.place[at + order] = self.filled + np.cumsum(counts[order]) - counts[order]
+        self.count[at : at + len(texts)] = counts
         self.filled += len(pieces)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at, keys[order])
-        self.place = np.insert(self.place, at, place[order])
-        self.count = np.insert(self.count, at, counts[order])
+        self.known.update(zip(texts, range(at, at + len(texts)), strict=True))
+        self.held += sum(map(len, texts))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds per row) of the texts in an Arrow buffer, without end ids."""
@@ -123,25 +121,22 @@ class Tokens:
         cut[offs[:-1][offs[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        self.powers.need(n)
-        h = np.add.reduceat(BYTE_VALUES[data] * self.powers.up[:n], starts) * self.powers.down[starts]
-        h = mix(h + (ends - starts).astype(np.uint64) * MULTS[1])
-        codes, keys = pd.factorize(h)
-        if len(self.keys) > CACHE_PIECES:
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n)), pa.py_buffer(data)])
+        coded = column.dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.known) > CACHE_PIECES or self.held > CACHE_BYTES:
             self.clear()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            first = np.empty(len(keys), np.int64)
+        new = [i for i, x in enumerate(pieces) if x not in self.known]
+        if new:
+            first = np.empty(len(pieces), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             some = first[new]
-            raw = data.tobytes()
             safe = np.append(safe, False)
-            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], safe[starts[some]] & safe[ends[some]])
-            at = np.searchsorted(self.keys, keys)
-        count = self.count[at].astype(np.int64)[codes]
+            self._learn([pieces[i] for i in new], safe[starts[some]] & safe[ends[some]])
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        count = self.count[at][codes]
         done = np.cumsum(count)
-        ids = self.pool[np.repeat(self.place[at].astype(np.int64)[codes] - (done - count), count) + np.arange(int(done[-1]))]
+        ids = self.pool[np.repeat(self.place[at][codes] - (done - count), count) + np.arange(int(done[-1]))]
         per_row = np.concatenate([[0], done])[np.searchsorted(starts, offs)]
         return ids, per_row
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import chroma, components, decontaminate, langid, licenses, mixing, neardup, queries, rans, secrets, substring, tokenstream, toxicity
 from quillspark.llm.license_rules import rules
-from quillspark.llm.shared import Powers, shingle_sets, text_buffer, word_bounds, word_hashes
+from quillspark.llm.shared import shingle_sets, text_buffer, word_bounds, word_hashes
 
 MID = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, size long, words string"
@@ -50,7 +50,7 @@ def test_words_of_a_buffer(rows):
     starts, ends, first = word_bounds(data, offs)
     for i, t in enumerate(rows):
         assert [data[a:b].tobytes() for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)] == words(t)
-    h = word_hashes(data, starts, Powers(), lower=False)
+    h = word_hashes(data, starts, ends, lower=False)
     seen = {}
     for a, b, x in zip(starts, ends, h, strict=True):
         assert seen.setdefault(data[a:b].tobytes(), x) == x
@@ -59,8 +59,8 @@ def test_words_of_a_buffer(rows):
 
 def test_short_rows_are_one_shingle():
     data, offs = text_buffer(pa.array(["A b", "a B", "a", "", "a b c d e f"]))
-    starts, _, first = word_bounds(data, offs)
-    h, row = shingle_sets(word_hashes(data, starts, Powers(), lower=True), first)
+    starts, ends, first = word_bounds(data, offs)
+    h, row = shingle_sets(word_hashes(data, starts, ends, lower=True), first)
     assert np.bincount(row, minlength=5).tolist() == [1, 1, 1, 0, 2] and h[0] == h[1]
 
 
@@ -93,7 +93,6 @@ def test_stream_equals_tokenizer(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenstream.default_tokenizer())
-    t.encode_special_tokens = True
     want, at = {}, 0
     for i, x in zip(texts.doc_id, texts.text, strict=True):
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
@@ -214,10 +213,54 @@ def test_neardup_of_large_and_loose_groups(spark, monkeypatch):
 
 
 def test_neardup_of_odd_rows(spark, odd):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classes_of(odd).collect()}
-    assert got == {(0, 0, 0), (1, 0, 1), (2, 2996, 2), (3, 2996, 2), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 7), (2, 2, 2)}
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classes_of(odd).collect())
+    assert got == [(0, 0, 0), (1, 0, 1), (2, 2, 2), (2, 2996, 2), (3, 2996, 2), (3, 2996, 2), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 7)]
     assert neardup.classes_of(odd.limit(0)).count() == 0
-    assert neardup.keep_one(odd).columns == odd.columns
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 2, 4, 6, 7]
+
+
+def test_neardup_of_other_ids(spark):
+    """Ids that are strings, null, or repeated with other texts: each text is compared."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [("x", a), ("x", b), ("y", a + " z"), ("w", b + " z"), (None, a + " v"), ("v", "a lone text")]
+    got = sorted((r["doc_id"] or "", r["component_id"], r["kept"]) for r in neardup.classes_of(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("", "x", False), ("v", "v", True), ("w", "w", True), ("x", "w", False), ("x", "x", True), ("y", "x", False)]
+    only = spark.createDataFrame([(None, a), (None, a)], "doc_id string, text string")
+    assert [(r["component_id"], r["kept"]) for r in neardup.classes_of(only).collect()] == [(None, True)] * 2
+
+
+def thue_morse(k):
+    w, v = "a", "b"
+    for _ in range(k):
+        w, v = w + v, v + w
+    return w, v
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_structured_words_differ(spark, k):
+    """Words on which a polynomial hash modulo 2^64 collides."""
+    w, v = thue_morse(k)
+    docs = spark.createDataFrame([(1, "k " + w), (2, "k " + v)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in neardup.classes_of(docs).collect()) == [1, 2]
+    tokens = tokenstream.Tokens(tokenstream.default_tokenizer())
+    ids, bounds = tokens.encode(*text_buffer(pa.array(["x " + w, "x " + v])))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in tokens.tokenizer.encode_batch(["x " + w, "x " + v])]
+    twelve = " ".join(f"s{i}" for i in range(12))
+    got = substring.dedup(spark.createDataFrame([(1, f"{w} {twelve}"), (2, f"{v} {twelve}")], "doc_id long, text string")).collect()
+    assert {r["n_removed"] for r in got} == {0}
+
+
+def test_shingles_are_counted_by_words():
+    rng = random.Random(3)
+    for kinds in (3, 40, 9000):
+        for _ in range(30):
+            x, y = ([str(rng.randrange(kinds)).encode() for _ in range(rng.randrange(300 if kinds < 9000 else 9000))] for _ in "ab")
+            y = x[:150] + y
+            p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (x, y))
+            assert neardup.both_sizes(x, y) == (len(p), len(q), len(p & q) if x and y else 0)
+    big = [str(i).encode() for i in range(7000)]
+    assert neardup.both_sizes(big, big[:100] + big) == (6996, 7000, 6996)
 
 
 @pytest.mark.parametrize(("seed", "local"), [(0, 0), (1, 0), (2, 1000)])
@@ -530,6 +573,13 @@ def test_packed_places(rows):
     assert back[0].tolist() == rid.tolist() and back[1].tolist() == pos.tolist()
 
 
+def test_substring_of_other_ids(spark):
+    t = " ".join(f"w{i}" for i in range(20))
+    rows = [("b", t), (None, t), ("a", t + " x"), ("c", "short")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": 0, "b": 20, "c": 0, None: 20}
+
+
 def test_substring_of_odd_rows(spark, odd):
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.dedup(odd).collect())
     assert got == [(0, 0, 0), (1, 0, 0), (2, 6, 0), (2, 3000, 0), (3, 3000, 3000), (3, 3000, 3000), (4, 2, 0), (5, 2, 0), (6, 0, 0), (7, 3, 0)]
