@@ -5,26 +5,32 @@ frames are scaled to norm 1.  Over each run of SPAN frames, 16 filters compare t
 span x 12 image, read from its integral image; each filter's value falls into one of four classes, whose
 2-bit Gray codes pack to a 32-bit integer.  A recording's fingerprint is the sequence of these integers.
 
-Matching: recordings with equal fingerprints form a class, carried by the smallest id.  A query class meets
-every class with which it shares an integer; hits are counted by offset, every offset with LEAST_HITS is
-aligned over the whole overlap and the one with the lowest bit error rate stays.  Keys are exact, so
-errors spread over all integers cost recall: it is measured in the tests, against all offsets of all
-pairs and by error rate.  Overlaps of fewer than LEAST_OVERLAP integers are no match.
+Matching: recordings with equal fingerprints form a class, carried by the smallest id.  Keys stand for what
+changes over a window: the exact pair of an integer and the one SPAN later, and KEY_BITS bits drawn from
+KEY_SPAN integers, once from each of four halves of the filters, so that neither whole integers nor all
+filters need to be free of errors and chance meetings are rare.  A query class meets every class with which it
+shares keys; hits are counted by offset, every offset with LEAST_HITS is aligned over the whole overlap
+and the one with the lowest bit error rate stays.  Recall is measured in the tests, against all offsets
+of all pairs and by error rate.  Overlaps of fewer than LEAST_OVERLAP integers are no match.  A window
+in which fewer than half of the integers differ from the one before (silence, a held note and their borders)
+has no key: what recordings share besides is what links them.  A key of very many recordings is dealt over
+tasks by the adaptive split of skewed joins.
 
 Defined cases: null, empty and too short recordings have an empty fingerprint, are a class of their own
 each and match nothing; silence gives the integer of equal areas; repeated ids count as one recording, the
-longest fingerprint; ties in error go to more hits, then to the smaller shift; other columns are not
-read.
+longest fingerprint; ties in error go to more hits, then to the smaller shift; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import U64, mix, written
 
 RATE = 11025
 FRAME, HOP = 1024, 512
@@ -37,6 +43,10 @@ BATCH_ROWS = 64
 # Filters: kind, first pitch class, pitch classes, first frame, frames.
 FILTERS = [(k, c, h, t, w) for k, (c, h, t, w) in enumerate([(0, 12, 0, 8), (0, 6, 0, 8), (6, 6, 0, 8), (0, 4, 0, 4), (4, 4, 0, 4), (8, 4, 0, 4), (0, 4, 4, 4), (4, 4, 4, 4), (8, 4, 4, 4), (0, 2, 0, 8), (2, 2, 0, 8), (4, 2, 0, 8), (6, 2, 0, 8), (8, 2, 0, 8), (10, 2, 0, 8), (0, 12, 2, 4)])]
 CUTS = (-0.08, 0.0, 0.08)
+KEY_SPAN, KEY_BITS = 16, 40
+_halves = [[f for f in range(16) if ok(f)] for ok in (lambda f: f < 8, lambda f: f >= 8, lambda f: f % 2 == 0, lambda f: f % 2 == 1)]
+# For each half of the filters, KEY_BITS places (integer of the window, bit).
+PLACES = [sorted(np.random.default_rng(77 + i).permutation([(t, 2 * f + k) for t in range(KEY_SPAN) for f in half for k in (0, 1)])[:KEY_BITS].tolist()) for i, half in enumerate(_halves)]
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -105,6 +115,53 @@ def classes(prints: DataFrame) -> DataFrame:
     return keyed.join(least, "k").select("id", "class_id", "prints")
 
 
+def window_keys(prints: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, rows, places) of fingerprints prints[bounds[i]:bounds[i+1]], of one row each key's first place."""
+    n = len(prints)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    left = bounds[1:][row] - np.arange(n)
+    moves = np.concatenate([[0, 0], np.cumsum(prints[1:] != prints[:-1])])[-n - 1 :]  # changes up to each integer
+    bits = np.unpackbits(prints.astype("<u4").view(np.uint8).reshape(n, 4), axis=1, bitorder="little")
+    keys, at = [], []
+    m = n - SPAN
+    if m > 0:
+        ok = np.flatnonzero((left[:m] > SPAN) & (moves[SPAN + 1 : SPAN + 1 + m] - moves[1 : m + 1] >= SPAN // 2))
+        keys.append(mix(prints[ok].astype(np.uint64) | (prints[ok + SPAN].astype(np.uint64) << U64(32))))
+        at.append(ok)
+    m = n - KEY_SPAN + 1
+    for i, places in enumerate(PLACES if m > 0 else ()):
+        ok = np.flatnonzero((left[:m] >= KEY_SPAN) & (moves[KEY_SPAN : KEY_SPAN + m] - moves[1 : m + 1] >= KEY_SPAN // 2))
+        k = np.full(len(ok), U64((i + 1) << KEY_BITS))
+        for j, (t, bit) in enumerate(places):
+            k |= bits[ok + t, bit].astype(np.uint64) << U64(j)
+        keys.append(mix(k))
+        at.append(ok)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, at = np.concatenate(keys), np.concatenate(at)
+    order = np.lexsort((at, keys, row[at]))
+    keys, at = keys[order], at[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (row[at[1:]] != row[at[:-1]])
+    keys, at = keys[first], at[first]
+    return keys, row[at], at - bounds[:-1][row[at]]
+
+
+def keyed(reps: DataFrame) -> DataFrame:
+    """(class_id, v, pos): the keys of each class, with their first places."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH_ROWS):
+                b = batch.slice(i, BATCH_ROWS)
+                prints = b.column(1)
+                bounds = np.concatenate([[0], np.cumsum(prints.value_lengths().to_numpy())])
+                keys, row, pos = window_keys(prints.flatten().to_numpy().astype(np.uint32), bounds)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys.view(np.int64)), pa.array(pos, pa.int32())], names=["class_id", "v", "pos"])
+
+    return reps.select("class_id", "prints").mapInArrow(run, "class_id long, v long, pos int")
+
+
 def matches(of: DataFrame, queries: DataFrame, least_hits: int = LEAST_HITS, most_error: float = MOST_ERROR) -> DataFrame:
     """(query_class, class_id, offset, hits, overlap, error) between different classes.
 
@@ -113,10 +170,8 @@ def matches(of: DataFrame, queries: DataFrame, least_hits: int = LEAST_HITS, mos
     """
     reps = of.where("id = class_id").select("class_id", "prints").where("size(prints) > 0")
     asked = of.join(queries, "id", "left_semi").select("class_id").distinct()
-    each = reps.select("class_id", F.posexplode("prints").alias("pos", "v"))
-    # of one recording, an integer's first place is enough to find the offset of a shared passage
-    first = each.groupBy("class_id", "v").agg(F.min("pos").alias("pos"))
-    q = first.join(asked, "class_id", "left_semi").select(F.col("class_id").alias("query_class"), "v", F.col("pos").alias("p"))
+    first = keyed(reps)
+    q = keyed(reps.join(asked, "class_id", "left_semi")).select(F.col("class_id").alias("query_class"), "v", F.col("pos").alias("p"))
     hits = q.join(first, "v").where("query_class <> class_id").groupBy("query_class", "class_id", (F.col("p") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
     tried = hits.where(F.col("hits") >= least_hits).groupBy("query_class", "class_id").agg(F.collect_list("offset").alias("offsets"), F.collect_list("hits").alias("counts"))
     both = tried.join(reps.select(F.col("class_id").alias("query_class"), F.col("prints").alias("a")), "query_class").join(reps.withColumnRenamed("prints", "b"), "class_id")

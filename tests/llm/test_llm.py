@@ -342,6 +342,23 @@ def test_recall_under_spread_noise(spark):
     assert all(0.15 < got[3 * i, 3 * i + 2]["error"] <= 0.25 for i in range(200)) and all(r["offset"] == 7 * (b % 3 == 1) for (_, b), r in got.items())
 
 
+def test_silence_in_every_recording_links_none(spark):
+    """A long stretch of silence in each, without keys of its own: only versions of one melody align."""
+    rng = np.random.default_rng(12)
+    quiet = b"\0\0" * (chroma.HOP * 100)
+    rows = []
+    for i in range(12):
+        tune = rng.integers(0, 24, 120).tolist()
+        rows += [(2 * i, tone(tune) + quiet), (2 * i + 1, tone(tune[4:]) + quiet)]
+    of = chroma.classes(chroma.fingerprints(spark.createDataFrame(rows, "id long, audio binary"))).cache()
+    reps = of.select("class_id", "prints")
+    assert chroma.keyed(reps).groupBy("v").count().agg(F.max("count")).collect()[0][0] < 12
+    got = {(r["query_class"], r["class_id"], r["offset"]) for r in chroma.matches(of, of.select("id")).collect()}
+    assert {(2 * i, 2 * i + 1, 8) for i in range(12)} <= got
+    assert all(a // 2 == b // 2 for a, b, _ in got)
+    assert chroma.classes(chroma.fingerprints(spark.createDataFrame([(1, quiet), (1, quiet[:9000]), (2, quiet)], "id long, audio binary"))).count() == 2
+
+
 def test_chroma_tries_every_offset(spark):
     """The offset with most hits is no match; the one with fewer hits is."""
     rng = np.random.default_rng(6)
