@@ -613,7 +613,7 @@ def test_mix_reaches_its_targets(spark, texts):
     names = sorted(per.index)
     want = mixing.targets([(n, int(per["size"][n])) for n in names])
     assert (per["size"] == per.told).all() and np.allclose([per.target[n] for n in names], want)
-    assert ((per.taken - per.target).abs() <= mixing.BLOCK_WORDS).all() and abs(per.target.sum() / per["size"].sum() - 1.5) < 1e-9
+    assert ((per.taken - per.target).abs() <= 1).all() and abs(per.target.sum() / per["size"].sum() - 1.5) < 1e-9
     again = mixing.op10_mixing(spark, MID).toPandas()
     assert got.set_index("doc_id").taken.sort_index().equals(again.set_index("doc_id").taken.sort_index())
 
@@ -631,25 +631,80 @@ def test_splitting_tree_is_exact(quotas, shards):
     assert table.sum(1).max() - table.sum(1).min() <= 1
 
 
-def test_draws_are_disjoint_and_fill_the_shards(spark):
+def plain_draws(sizes, weights, block_words, shards, seed, place):
+    """{(row, pass, block): (words, shard)} by sorting all blocks of each source."""
+    out, quotas, order, whole, rest = {}, [], [], [], []
+    names = sorted({s for s, _ in sizes.values()}, key=lambda s: (s is None, s or ""))
+    totals = [sum(n for s, n in sizes.values() if s == name) for name in names]
+    for name, size, target in zip(names, totals, mixing.targets(list(zip(names, totals, strict=True)), weights), strict=True):
+        mine = sorted((place[r, b], r, b, min(block_words, n - b * block_words)) for r, (s, n) in sizes.items() if s == name for b in range(-(-n // block_words)))
+        passes = int(target // size) if size else 0
+        left, k = round(target - passes * size), 0
+        cuts = []
+        while left > 0:
+            cuts.append(min(left, mine[k][3]))
+            left -= cuts[-1]
+            k += 1
+        order.append([(p, r, b, w) for p in range(passes) for _, r, b, w in mine] + [(passes, r, b, c) for (_, r, b, _), c in zip(mine, cuts, strict=False)])
+        quotas.append(len(order[-1]))
+    for i, row in enumerate(np.cumsum(mixing.split_quotas(quotas, shards, seed), axis=0).T):
+        for g, (p, r, b, w) in enumerate(order[i]):
+            out[r, p, b] = (w, int(np.searchsorted(row, g, side="right")))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [16, 1024])
+def test_draws_equal_plain_sorting(spark, texts, block_words):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
-    plan, draws = mixing.mix(docs, shards=4)
-    rows = draws.toPandas()
-    cells = [(u, p, b) for u, p, f, n in zip(rows.uid, rows["pass"], rows.first_block, rows.n_blocks, strict=True) for b in range(f, f + n)]
-    assert len(cells) == len(set(cells))
-    per = rows.groupby("shard").n_blocks.sum()
-    assert per.max() - per.min() <= 1
-    assert rows.words.sum() == plan.agg(F.sum("taken")).collect()[0][0]
-    assert mixing.shuffled(draws, 4, 2).count() == len(rows)
-
-
-def test_mix_of_odd_rows(spark, odd):
-    plan, _ = mixing.mix(odd)
-    assert plan.count() == 10 and mixing.mix(odd.limit(0))[0].count() == 0
+    plan = mixing.mix(docs, shards=5, block_words=block_words)
+    sizes = {r["rid"]: (r["source"], r["size"]) for r in plan.sizes.collect()}
+    assert {i: n for i, (_, n) in sizes.items()} == {i: len(words(t)) for i, t in zip(texts.doc_id, texts.text, strict=True)}
+    place = {(r["rid"], r["block"]): r["place"] for r in mixing.blocks_of(plan.sizes, block_words, 7).collect()}
+    got = {(r["rid"], r["pass"], r["block"]): (r["words"], r["shard"]) for r in plan.draws().collect()}
+    assert got == plain_draws(sizes, mixing.WEIGHTS, block_words, 5, 7, place)
+    per = np.bincount([s for _, s in got.values()])
+    assert len(per) == 5 and per.max() - per.min() <= 1
+    parts = mixing.shuffled(plan.draws(), 5, 2).withColumn("p", F.spark_partition_id()).collect()
+    assert len(parts) == len(got) and all(r["p"] // 2 == r["shard"] for r in parts)
+
+
+def test_large_urns():
+    """The inversion agrees with the generator where both work, and is unbiased beyond."""
+    rng = np.random.default_rng(1)
+    for good, bad, draws in ((300, 500, 200), (5, 2000, 1000)):
+        a = [rng.hypergeometric(good, bad, draws) for _ in range(4000)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "MOST_URN", 1)
+            b = [mixing._hypergeometric(rng, good, bad, draws) for _ in range(4000)]
+        assert abs(np.mean(a) - np.mean(b)) < 0.4 and abs(np.std(a) / np.std(b) - 1) < 0.1
+    x = [mixing._hypergeometric(rng, 3 * 10**10, 10**10, 2 * 10**10) for _ in range(50)]
+    assert abs(np.mean(x) / 1.5e10 - 1) < 1e-5 and len(set(x)) > 40
+
+
+def test_mix_of_repeated_and_odd_rows(spark, odd):
+    """Rows of one id keep their own quota; long texts come in blocks that join to the text."""
+    plan = mixing.mix(odd)
+    assert plan.sizes.count() == 10 and mixing.mix(odd.limit(0)).sizes.count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns
-    per = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    assert 0 not in per and 1 not in per
+    got = out.collect()
+    assert not {r["doc_id"] for r in got} & {0, 1, 6}
+    assert sum(len(words(r["text"])) for r in got) == plan.draws().agg(F.sum("words")).collect()[0][0]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    two = spark.createDataFrame([(7, " ".join(f"{c}{i}" for i in range(200)), "s") for c in "ab"] + [(8, "c " * 50, "t")], "doc_id long, text string, source string")
+    plan = mixing.mix(two)
+    assert sum(len(words(r["text"])) for r in mixing.mixed_documents(two).collect()) == plan.draws().agg(F.sum("words")).collect()[0][0]
+
+
+def test_blocks_join_to_the_text(spark, texts):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    rows = mixing._rows(docs, "doc_id", "text", "source")
+    got = defaultdict(list)
+    for r in mixing.cut_blocks(rows, 32, "text").collect():
+        got[r["rid"]].append((r["block"], r["words"], r["text"]))
+    for i, t in zip(texts.doc_id, texts.text, strict=True):
+        parts = sorted(got.get(i, []))
+        assert "".join(p[2] for p in parts) == (t if words(t) else "") and all(len(words(p[2])) == p[1] for p in parts)
 
 
 # --- the whole ----------------------------------------------------------------------------------
