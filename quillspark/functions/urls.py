@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions of binary files.
-BINARY_EXTENSIONS = "pdf png jpg jpeg gif webp ico svg zip tar gz rar 7z doc docx xls xlsx ppt pptx mp3 mp4 wav avi mov webm woff woff2 ttf eot otf".split()
+BINARY_EXTENSIONS = (
+    "pdf", "png", "jpg", "jpeg", "gif", "webp", "ico", "svg", "zip", "tar", "gz", "rar", "7z", "doc", "docx", "xls", "xlsx",
+    "ppt", "pptx", "mp3", "mp4", "wav", "avi", "mov", "webm", "woff", "woff2", "ttf", "eot", "otf",
+)
 # Media types by extension.
 MEDIA_TYPES = {
     "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,17 +15,27 @@ BREAKS = (". ", ".\n", "\n\n", "\n")
 
 
 def boundaries(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """[begin, end) of each window: it ends after the first break mark whose last place lies far enough."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        to = min(at + size, n)
-        if to < n:
-            places = ((text.rfind(mark, at, to), mark) for mark in BREAKS)
-            to = next((p + len(mark) for p, mark in places if p - at > size - overlap), to)
-        out.append((at, to))
-        at = to - overlap
-        if at >= n - overlap:
-            break
+    """[begin, end) of each window.
+
+    All places of the break marks are found once.  A window of full size ends behind the last mark of the
+    first kind that has one in the window's last `overlap` characters, or else at its full size.
+    """
+    n = len(text)
+    places = [[m.start() for m in re.finditer(f"(?={re.escape(mark)})", text)] for mark in BREAKS]
+
+    def end(begin: int) -> int:
+        full = begin + size
+        if full >= n:
+            return n
+        for mark, at in zip(BREAKS, places, strict=True):
+            k = bisect_right(at, full - len(mark))
+            if k and at[k - 1] > begin + size - overlap:
+                return at[k - 1] + len(mark)
+        return full
+
+    out = [(0, end(0))] if n else []
+    while out and out[-1][1] - overlap < n - overlap:
+        out.append((out[-1][1] - overlap, end(out[-1][1] - overlap)))
     return out
 
 

@@ -1,22 +1,27 @@
 """TF-IDF vectors, cosine pairs and first-wins duplicates (AG1-AG5, J2, G8, J5).
 
-Pairs come from an inverted index over each vector's prefix only: with terms ordered from rare to
-frequent, a vector's prefix is the shortest one whose rest has a norm of at most (1 - MARGIN) of the
-threshold.  Of two unit vectors, what the one with the shorter prefix shares beyond it adds at most that
-norm, so the products of shared prefix terms must sum to MARGIN of the threshold.  Candidates are then
-verified on all terms.  Equal
-vectors are grouped first, so copies never multiply the pairs.
+A vector is one row: its cells (df, term, w) from rare to frequent terms, scaled to norm 1.
+
+Pairs come from an inverted index over each vector's prefix only: the shortest one whose rest has a norm of
+at most (1 - MARGIN) of the threshold.  Of two unit vectors, what the one with the shorter prefix shares
+beyond it adds at most that norm, so the products of shared prefix terms must sum to MARGIN of the
+threshold.  Candidates are then verified on whole vectors.  Equal vectors are grouped first, so copies never
+multiply the pairs; a term with a very long list is dealt over tasks by the adaptive split of skewed joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens, white_words
 from quillspark.storage import cut
 
 MARGIN = 0.1
+# Links up to which the greedy scan runs in one task (a few MB); rounds of joins shrink larger tables first.
+LOCAL_PAIRS = 200_000
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,11 +36,17 @@ def document_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + F.lit(float(n_docs)) / (1 + F.col("df"))))
 
 
+def _packed(w: DataFrame) -> DataFrame:
+    """(doc_id, term, df, w) -> (doc_id, cells): one row a vector, scaled to norm 1; none for norm 0."""
+    each = w.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("cells"))
+    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * c["w"]))
+    each = each.withColumn("norm", norm).where("norm > 0")
+    return each.select("doc_id", F.transform("cells", lambda c: F.struct(c["df"].alias("df"), c["term"].alias("term"), (c["w"] / F.col("norm")).alias("w"))).alias("cells"))
+
+
 def unit_vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """(doc_id, term, df, w) scaled to norm 1; vectors of norm 0 have no rows."""
-    w = tf.join(idf, "term").select("doc_id", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    return w.join(norm, "doc_id").select("doc_id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    """(doc_id, cells) of tf * idf; vectors of norm 0 have no row."""
+    return _packed(tf.join(idf, "term").select("doc_id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")))
 
 
 def ngram_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_terms: int = 20_000, least_words: int = 30) -> DataFrame:
@@ -52,53 +63,94 @@ def ngram_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(most_terms)
     total = docs.count()
     idf = vocabulary.select("term", "df", (F.log((1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = counts.join(idf, "term").select("doc_id", "term", "df", ((1 + F.log("n")) * F.col("idf")).alias("w"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "doc_id").select("doc_id", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    return _packed(counts.join(idf, "term").select("doc_id", "term", "df", ((1 + F.log("n")) * F.col("idf")).alias("w")))
 
 
 def representatives(vectors: DataFrame) -> DataFrame:
     """(doc_id, rep): the smallest doc_id with the same vector."""
-    cell = F.struct("term", F.round("w", 12).alias("w"))
-    key = vectors.groupBy("doc_id").agg(F.sum(F.xxhash64(cell).cast("decimal(38,0)")).alias("k1"), F.bit_xor(F.xxhash64(F.lit(7), cell)).alias("k2"), F.count(F.lit(1)).alias("n"))
-    least = key.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    return key.join(least, ["k1", "k2", "n"]).select("doc_id", "rep")
+    content = F.transform("cells", lambda c: F.struct(c["term"].alias("t"), F.round(c["w"], 12).alias("w")))
+    key = vectors.select("doc_id", F.sha2(F.to_json(content), 256).alias("k"))
+    return key.join(key.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep")
+
+
+def prefixes(vectors: DataFrame, most: float) -> DataFrame:
+    """(doc_id, term, w): of each vector the cells up to the place where the rest's norm is below `most`."""
+
+    def run(batches):
+        for b in batches:
+            cells, size = b.column(1).flatten(), b.column(1).value_lengths().to_numpy()
+            w = cells.field("w").to_numpy()
+            total = np.concatenate([[0.0], np.cumsum(w * w)])
+            row = np.repeat(np.arange(len(size)), size)
+            rest = total[np.cumsum(size)][row] - total[:-1]
+            at = pa.array(np.flatnonzero(rest >= (most - 1e-9) ** 2))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)).take(at), cells.field("term").take(at), cells.field("w").take(at)], names=["doc_id", "term", "w"])
+
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    return vectors.select("doc_id", "cells").mapInArrow(run, f"doc_id {kind}, term string, w double")
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """J2, AG5: (i, j, sim) with i < j and sim >= threshold > 0, of unit vectors (doc_id, term, df, w)."""
+    """J2, AG5: (i, j, sim) with i < j and sim >= threshold > 0, of unit vectors (doc_id, cells)."""
     most = (1 - MARGIN) * threshold  # norm of what stands behind a prefix
-    rest = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("rest") >= (most - 1e-9) ** 2).select("doc_id", "term", "w")
-    shared = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("term")
-    prefix = prefix.join(shared, "term")
-    partial = prefix.select("term", F.col("doc_id").alias("i"), F.col("w").alias("p")).join(prefix.select("term", F.col("doc_id").alias("j"), F.col("w").alias("q")), "term").where("i < j")
+    index = cut(prefixes(vectors, most))
+    one = lambda s, w: index.select("term", F.col("doc_id").alias(s), F.col("w").alias(w))
+    partial = one("i", "p").join(one("j", "q"), "term").where("i < j")
     candidates = partial.groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("s")).where(F.col("s") >= threshold - most - 1e-9).select("i", "j")
-    left = candidates.join(vectors.select(F.col("doc_id").alias("i"), "term", F.col("w").alias("wi")), "i")
-    both = left.join(vectors.select(F.col("doc_id").alias("j"), "term", F.col("w").alias("wj")), ["j", "term"])
-    return both.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim")).where(F.col("sim") >= threshold)
+    of = lambda s: vectors.select(F.col("doc_id").alias(s), F.transform("cells", lambda c: c["term"]).alias(f"t{s}"), F.transform("cells", lambda c: c["w"]).alias(f"w{s}"))
+    both = candidates.join(of("i"), "i").join(of("j"), "j").select("i", "j", "ti", "wi", "tj", "wj")
+
+    def verify(batches):
+        for b in batches:
+            sims = np.empty(b.num_rows)
+            for k in range(b.num_rows):
+                x = dict(zip(b.column(2)[k].as_py(), b.column(3)[k].as_py(), strict=True))
+                sims[k] = sum(x.get(t, 0.0) * w for t, w in zip(b.column(4)[k].as_py(), b.column(5)[k].as_py(), strict=True))
+            at = pa.array(np.flatnonzero(sims >= threshold))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sims).take(at)], names=["i", "j", "sim"])
+
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(verify, f"i {kind}, j {kind}, sim double")
+
+
+def _scan(batches):
+    """The greedy rule over all pairs of a small table, in one task."""
+    below: dict = {}
+    for b in batches:
+        for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            below.setdefault(j, []).append(i)
+    first = {}
+    for j in sorted(below):  # those without smaller neighbours are kept
+        kept = [i for i in below[j] if i not in first]
+        if kept:
+            first[j] = min(kept)
+    yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(list(first.values()), pa.int64())], names=["j", "duplicate_of"])
 
 
 def first_wins(pairs: DataFrame) -> DataFrame:
-    """(j, duplicate_of) by the greedy first-wins rule over pairs (i, j), i < j.
+    """(j, duplicate_of) by the greedy first-wins rule over pairs (i, j), i < j, of long ids.
 
-    The kept items are the lexicographically first maximal independent set, found in rounds: an open
-    item with a kept smaller neighbour is a duplicate, one without open smaller neighbours is kept.
+    The kept items are the lexicographically first maximal independent set.  A small table of pairs is scanned
+    in one task.  Of a larger one, rounds of joins settle who has no open smaller neighbour (kept) and
+    their larger neighbours (duplicates) until what is open is small.
     """
-    pairs = cut(pairs.select("i", "j").distinct())
-    nodes = pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct()
-    state = cut(nodes.withColumn("kept", F.lit(None).cast("boolean")))
-    while True:
-        below = pairs.join(state.select(F.col("id").alias("i"), F.col("kept").alias("k")), "i")
-        seen = below.groupBy(F.col("j").alias("id")).agg(F.coalesce(F.bool_or("k"), F.lit(False)).alias("hit"), F.bool_or(F.col("k").isNull()).alias("open"))
-        joined = state.join(seen, "id", "left")
-        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
-        state = cut(joined.select("id", kept.alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
-    kept = state.where("kept").select(F.col("id").alias("i"))
-    gone = state.where("not kept").select(F.col("id").alias("j"))
-    return pairs.join(kept, "i").join(gone, "j").groupBy("j").agg(F.min("i").alias("duplicate_of"))
+    pairs = cut(pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct())
+    settled = None
+    open_ = pairs
+    while open_.count() > LOCAL_PAIRS:
+        kept = open_.select("i").distinct().join(open_.select(F.col("j").alias("i")), "i", "left_anti")
+        gone = cut(open_.join(kept, "i").groupBy("j").agg(F.min("i").alias("duplicate_of")))
+        settled = gone if settled is None else settled.unionByName(gone)
+        out = gone.select("j")
+        # a duplicate rules nothing out; a kept one has ruled out all its larger neighbours
+        open_ = cut(open_.join(out, "j", "left_anti").join(out.withColumnRenamed("j", "i"), "i", "left_anti").select("i", "j"))
+    rest = open_.coalesce(1).mapInArrow(_scan, "j long, duplicate_of long")
+    if settled is None:
+        return rest
+    # a larger table's first kept neighbour may have been settled after its duplicate: look again at all pairs
+    gone = cut(settled.select("j").unionByName(rest.select("j")))
+    kept = pairs.join(gone.withColumnRenamed("j", "i"), "i", "left_anti")
+    return kept.join(gone, "j", "left_semi").groupBy("j").agg(F.min("i").alias("duplicate_of"))
 
 
 def dedupe(docs: DataFrame, threshold: float, variant: str = "a1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder in the warehouse."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint of df, in spark.checkpoint.dir; set here only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path:
-            local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            path = tempfile.mkdtemp(prefix="quillspark-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    """df written as Parquet in the shared folder and read back; the files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
