@@ -11,7 +11,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import time
 import uuid
 from functools import cache
@@ -22,26 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.storage import shared_folder
+
 SUB_BATCH_BYTES = 2 << 20
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        path = tempfile.mkdtemp(prefix="quillspark-")
-    else:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark"
-    sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,7 +35,7 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     p, fs = _hadoop_path(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
