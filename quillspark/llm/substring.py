@@ -189,9 +189,11 @@ def _assemble(table: pa.Table) -> pa.Table:
 REPEATED = "rid long, places binary, names binary, later binary"
 
 
-def _level(packed: DataFrame, ranges: int, buckets: int) -> tuple[DataFrame, str]:
-    """One level's repeated windows, a row for each document that has any."""
+def _level(packed: DataFrame, ranges: int, buckets: int, large: bool = False) -> tuple[DataFrame, str]:
+    """One level's repeated windows, a row for each document that has any; large: drop shuffle files at once."""
     found, path = written(packed.repartition(ranges, "key").groupBy("key").applyInArrow(_resolve(buckets, ranges), FOUND), "found")
+    if large:
+        release(packed.sparkSession)
     rows = written(found.groupBy("bucket").applyInArrow(_assemble, REPEATED), "repeated")
     drop_folder(packed.sparkSession, path.rsplit("/", 1)[0])
     return rows
@@ -237,8 +239,8 @@ def find_repeats(rows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
 
         return run
 
-    level, _ = _level(rows.select("rid", "text").mapInArrow(first, PACKED), ranges, ranges)
-    release(spark)  # level 0's shuffle files, by far the largest
+    level, _ = _level(rows.select("rid", "text").mapInArrow(first, PACKED), ranges, ranges, large=True)
+    release(spark)
     ranges = max(8, ranges // 4)  # what is left is a small part of the windows
     base, length, longest = level, width, level.select("rid", F.lit(width).alias("length"))
     while True:

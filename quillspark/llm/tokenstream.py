@@ -22,8 +22,8 @@ crc differs raises an error.
 from __future__ import annotations
 
 import os
-import sys
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from quillspark.llm.shared import SPACE, binary_rows, drop_folder, new_folder, r
 END_ID = 0
 BLOCK_IDS = 1 << 16
 BATCH_IDS = 1 << 22
-CACHE_PIECES, CACHE_BYTES = 500_000, 32 << 20
+CACHE_PIECES, CACHE_BYTES = 1_500_000, 32 << 20
 RUN_PIECES = 64
 TEXT_BYTES = 2 << 20
 GAP = SPACE.copy()
@@ -123,17 +123,18 @@ class Tokens:
         ends = np.append(starts[1:], n)
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n)), pa.py_buffer(data)])
         coded = column.dictionary_encode()
-        codes, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_PIECES or self.held > CACHE_BYTES:
             self.clear()
-        new = [i for i, x in enumerate(pieces) if x not in self.known]
-        if new:
+        at = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.known) + np.arange(len(new))
             first = np.empty(len(pieces), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             some = first[new]
             safe = np.append(safe, False)
-            self._learn([pieces[i] for i in new], safe[starts[some]] & safe[ends[some]])
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self._learn([pieces[i] for i in new.tolist()], safe[starts[some]] & safe[ends[some]])
         count = self.count[at][codes]
         done = np.cumsum(count)
         ids = self.pool[np.repeat(self.place[at][codes] - (done - count), count) + np.arange(int(done[-1]))]
