@@ -6,6 +6,11 @@ numbers.  Nystroem landmarks (a few training texts per language) turn the kernel
 ridge regression per language against the rest is fitted on them, and its weights are folded into one
 matrix, so that a batch of texts is scored by two matrix products.
 
+A filter needs to know what belongs to no learned language.  Two limits come from the training sample: a
+score halfway between chance (one over the number of languages) and the lowest thousandth of rightly
+classified rows, and half of the lowest thousandth of kernel values with the nearest landmark of another row.
+Texts below either are rejected: unlearned scripts hold next to no n-gram of any landmark.
+
 Training reads a bounded sample: at most `per_lang` rows of each language, by hash order.  The sample's
 spectra (2 KB a row) are computed on the executors; the fit on the driver is bounded by the sample.
 
@@ -30,6 +35,7 @@ PER_LANG = 800
 LANDMARKS = 128
 RIDGE = 1e-2
 CHUNK = 256
+LOW = 0.001
 # Multipliers of the n-gram hash, one for each place in the gram.
 GRAM = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 LETTER = np.zeros(256, bool)
@@ -72,6 +78,7 @@ class Model:
 
     def __init__(self, langs: list[str], marks: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.langs, self.marks, self.weights, self.bias = langs, marks, weights, bias
+        self.least_score = self.least_kernel = 0.0  # below either a text is of no learned language
 
     def kernel(self, x: np.ndarray) -> np.ndarray:
         z = self.marks.astype(np.float32)
@@ -102,7 +109,14 @@ def fit(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float =
     mean_phi, mean_y = (w * phi).sum(0) / w.sum(), (w * want).sum(0) / w.sum()
     a = (phi - mean_phi).T @ (w * (phi - mean_phi)) / len(langs)
     beta = np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)), (phi - mean_phi).T @ (w * (want - mean_y)) / len(langs))
-    return Model(langs, x[picked], (root @ beta).astype(np.float32), (mean_y - mean_phi @ beta).astype(np.float32))
+    out = Model(langs, x[picked], (root @ beta).astype(np.float32), (mean_y - mean_phi @ beta).astype(np.float32))
+    scores = k_nm @ out.weights + out.bias
+    right = np.clip((scores.max(1)[scores.argmax(1) == y_at] + 1) / 2, 0, 1)
+    others = np.setdiff1d(np.arange(len(x)), picked)
+    if len(right) and len(others):
+        out.least_score = float(1 / len(langs) + (np.quantile(right, LOW) - 1 / len(langs)) / 2)
+        out.least_kernel = float(np.quantile(k_nm[others].max(1), LOW) / 2)
+    return out
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> tuple[np.ndarray, list[str]]:
@@ -136,19 +150,20 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     return fit(x[filled], [v for v, ok in zip(y, filled, strict=True) if ok]) if filled.any() else None
 
 
-def best(model: Model | None, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(language's number or -1 for und, score) of each row of a text buffer."""
+def best(model: Model | None, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language's number or -1 for und, score, kernel with the nearest landmark) of each row of a text buffer."""
     rows = len(offs) - 1
     if model is None:
-        return np.full(rows, -1), np.zeros(rows)
-    top, conf = np.zeros(rows, np.int64), np.zeros(rows)
+        return np.full(rows, -1), np.zeros(rows), np.zeros(rows)
+    top, conf, near = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
     for i in range(0, rows, CHUNK):
         j = min(rows, i + CHUNK)
-        s = model.scores(spectra(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-        top[i:j] = s.argmax(1)
+        k = model.kernel(spectra(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+        s = k @ model.weights + model.bias
+        top[i:j], near[i:j] = s.argmax(1), k.max(1)
         conf[i:j] = np.clip((s.max(1) + 1) / 2, 0, 1)
     known = has_letter(data, offs)
-    return np.where(known, top, -1), np.where(known, conf, 0.0)
+    return np.where(known, top, -1), np.where(known, conf, 0.0), near
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +172,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def score(batches):
         for b in sub_batches(batches):
-            top, conf = best(model, *text_buffer(b.column(1)))
+            top, conf, _ = best(model, *text_buffer(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[top], pa.string()), pa.array(conf)], names=["doc_id", "lang_pred", "score"])
         tidy()
 
@@ -178,14 +193,17 @@ def op7_langid(spark, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.05, text_col: str = "text", **options) -> DataFrame:
-    """The documents whose language is known: `und` and scores below `least` go.  No shuffle."""
+def keep_known(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents of a learned language: `und` and texts below the model's limits go.  No shuffle."""
     model = train(docs, text_col=text_col, **options)
 
     def run(batches):
         for b in sub_batches(batches, text_col):
-            top, conf = best(model, *text_buffer(b.column(b.schema.get_field_index(text_col))))
-            yield b.filter(pa.array((top >= 0) & (conf >= least)))
+            top, conf, near = best(model, *text_buffer(b.column(b.schema.get_field_index(text_col))))
+            ok = top >= 0
+            if model is not None:
+                ok &= (conf >= model.least_score) & (near >= model.least_kernel)
+            yield b.filter(pa.array(ok))
         tidy()
 
     return docs.mapInArrow(run, docs.schema)
