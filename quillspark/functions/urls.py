@@ -126,18 +126,6 @@ def looks_like_pdf(content_type: Column, url: Column) -> Column:
     return F.contains(F.lower(content_type), F.lit("pdf")) | F.endswith(F.lower(url), F.lit(".pdf"))
 
 
-def page_kind(status: Column, content_type: Column) -> Column:
-    """error code, html, pdf, text or binary."""
-    ct = F.lower(F.coalesce(content_type, F.lit("")))
-    return (
-        F.when(status >= 400, F.concat(F.lit("http_"), status.cast("string")))
-        .when(F.contains(ct, F.lit("text/html")) | F.contains(ct, F.lit("application/xhtml")), "html")
-        .when(F.contains(ct, F.lit("application/pdf")), "pdf")
-        .when(F.contains(ct, F.lit("text/")), "text")
-        .otherwise("binary")
-    )
-
-
 def main_type(content_type: Column) -> Column:
     """What stands before ';'."""
     return F.trim(F.element_at(F.split(content_type, ";"), 1))

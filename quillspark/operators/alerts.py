@@ -62,6 +62,56 @@ def decide(classified: DataFrame, text_col: str = "alert_text", confidence_col:
     })
 
 
+# What stands for a reasoning that failed.
+FAILED_ISSUE = "Reasoning failed"
+REASONING = "likely_issue string, probable_root_cause string, confidence double, is_familiar boolean, needs_external_knowledge boolean"
+
+
+def reasoning(reply: Column) -> Column:
+    """The struct in a model's reply; a reply without one gives all nulls, broken JSON the failure with confidence 0."""
+    found = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    read = F.from_json(found, REASONING)
+    bad = F.coalesce(F.try_parse_json(found).isNull(), F.lit(True))
+    failed = F.struct(F.lit(FAILED_ISSUE).alias("likely_issue"), F.lit("malformed reply").alias("probable_root_cause"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_familiar"), F.lit(True).alias("needs_external_knowledge"))
+    return F.when(F.coalesce(found, F.lit("")) == "", F.from_json(F.lit("{}"), REASONING)).when(bad, failed).otherwise(read)
+
+
+def internal_context(name: Column) -> Column:
+    """SRC15: the constant context of a service."""
+    return F.struct(
+        F.concat(F.lit("No critical errors for "), name, F.lit(" before alert.")).alias("recent_logs"), F.concat(name, F.lit(" operating at baseline until spike.")).alias("recent_metrics"),
+        F.lit("2 similar incidents found in last 30 days.").alias("similar_incidents"), F.lit("operational").alias("service_status"),
+    )
+
+
+def external_knowledge(queries: DataFrame, titles: DataFrame, k: int = 3) -> DataFrame:
+    """SRC14: queries (id, service) with the first k titles (ord, title) that name the service, joined by line ends; null without any.
+
+    Services are few, so titles are matched against the distinct ones and ranked by partial top-k lists.
+    """
+    names = queries.select("service").distinct()
+    hits = titles.join(F.broadcast(names.limit(len(SERVICES) + 1)), F.contains(F.lower("title"), F.col("service")))
+    top = hits.groupBy("service").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "title"))), 1, k).alias("x"))
+    told = top.select("service", F.array_join(F.transform("x", lambda x: x["title"]), "\n").alias("knowledge"))
+    return queries.join(told, "service", "left")
+
+
+def verified(decisions: DataFrame, at: Column | None = None) -> DataFrame:
+    """SNK12: decisions marked as verified and stored, with the time."""
+    return decisions.withColumns({"verified": F.lit(True), "stored": F.lit(True), "stored_at": F.current_timestamp() if at is None else at})
+
+
+def decision(classified: DataFrame, text_col: str = "alert_text", reasoning_col: str = "reasoning", at_col: str = "ts") -> DataFrame:
+    """(summary, decision) of classified alerts with their reasoning; missing parts have the stated defaults."""
+    r = F.col(reasoning_col)
+    told = decide(classified.withColumn("confidence", r["confidence"]), text_col, "confidence", at_col)
+    none = F.array().cast("array<string>")
+    return told.withColumn("decision", F.struct(
+        "incident_id", "service", "severity", "status", F.coalesce(r["probable_root_cause"], F.lit("Unknown")).alias("root_cause"), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"),
+        none.alias("actions_taken"), F.create_map().cast("map<string,string>").alias("verification"), "should_escalate", "next_recommendation",
+    ))
+
+
 def needs_external(flag: Column) -> Column:
     """a missing flag means yes."""
     return F.coalesce(flag, F.lit(True))

@@ -1,5 +1,5 @@
-"""Research runs: source records, failures, statistics, domains, enrichment and the report
-(P1, P2, P8, W1, J5-J9, AG7, AG8, AG12, SET2, L7, L8, R1, R2, S23, S24)."""
+"""Research runs: source records, failures, statistics, domains, enrichment, logs
+(P1-P3, P8, W1, J5-J9, AG7, AG8, SET2, L7, L10, S24, S26, SNK9)."""
 
 from __future__ import annotations
 
@@ -72,39 +72,42 @@ def union_sections(kept: DataFrame, duplicates: DataFrame, failures: DataFrame)
     return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
-def report_lines(sources: DataFrame, topic: str) -> DataFrame:
-    """R1 over kept sources (n, id, url, title, bullets, reliability): (section, k, line) of the report.
-
-    Sections and caps: 8 sources with findings, 5 to read next, all in the library.
-    """
-    cite = F.concat(F.lit("["), F.col("id"), F.lit("]"))
-    name = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"))
-    spark = sources.sparkSession
-    heads = [(0, f"# Deep Research Report: {topic}"), (10, "## Executive Summary"), (20, "## Key Findings"), (30, "## Deep Dive"), (40, "## Contradictions and Uncertainty"), (50, "## What to Read Next"), (60, "## Source Library"), (61, "| ID | Title | URL |"), (62, "|----|-------|-----|")]
-    fixed = spark.createDataFrame([(s, 0, 0, x) for s, x in heads], "section int, n long, k int, line string")
-    findings = sources.where("size(bullets) > 0").orderBy("n").limit(8)
-    found = findings.select(F.lit(21).alias("section"), "n", F.posexplode(F.concat(F.array(F.concat(F.lit("### From "), cite, F.lit(" — "), name)), F.transform("bullets", lambda b: F.concat(F.lit("- "), b)))).alias("k", "line"))
-    dive = sources.where("size(bullets) > 0").select(F.lit(31).alias("section"), "n", F.posexplode(F.concat(F.array(F.concat(F.lit("### "), name, F.lit(" "), cite)), F.transform("bullets", lambda b: F.concat(F.lit("- "), b)))).alias("k", "line"))
-    top = sources.orderBy("n").limit(5)
-    rank = F.row_number().over(Window.orderBy("n"))
-    read = top.select(F.lit(51).alias("section"), "n", F.lit(0).alias("k"), F.concat(rank.cast("string"), F.lit(". **["), name, F.lit("]("), F.col("url"), F.lit(")** "), cite).alias("line"))
-    short = F.concat(F.substring("url", 1, 60), F.when(F.length("url") > 60, "…").otherwise(""))
-    shown = F.substring(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("—")), 1, 50)
-    library = sources.select(F.lit(63).alias("section"), "n", F.lit(0).alias("k"), F.concat(F.lit("| "), F.col("id"), F.lit(" | "), shown, F.lit(" | "), short, F.lit(" |")).alias("line"))
-    out = fixed
-    for x in (found, dive, read, library):
-        out = out.unionByName(x.select("section", F.col("n").cast("long").alias("n"), F.col("k").cast("int").alias("k"), "line"))
-    return out
-
-
-def executive_summary(sources: DataFrame, topic: str) -> DataFrame:
-    """AG12: one row: how many sources, and the first five domains by name."""
-    d = F.slice(F.sort_array(F.collect_set(urls.domain(F.col("url")))), 1, 5)
-    n = F.count(F.lit(1))
-    line = F.when(n > 0, F.concat(F.lit(f"This report synthesizes findings on **{topic}** from "), n.cast("string"), F.lit(" sources spanning domains including "), F.array_join(d, ", "), F.lit("."))).otherwise(F.lit(f"This report covers the topic **{topic}**. No sources were retrieved."))
-    return sources.agg(line.alias("line"))
-
-
-def run_id(at: Column, seed: Column) -> Column:
-    """Time and eight hexadecimal digits of a seed's hash."""
+def kept_sources(sources: DataFrame, most: int = 20, order: str = "n") -> DataFrame:
+    """The first `most` sources that are no duplicates; the others are in no list."""
+    return sources.where("duplicate_of is null").orderBy(order).limit(most)
+
+
+def projected(pages: DataFrame, variant: str = "a1") -> DataFrame:
+    """Pages as source records; '' means null.  a1 keeps the canonical URL, a2 finds it from the final one."""
+    full = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    where = F.col("canonical_url") if variant == "a1" else canonical(F.col("url"), F.col("final_url")).alias("canonical_url")
+    more = [full("author"), full("published_at")] if variant == "a1" else [F.coalesce("pdf_text_unavailable", F.lit(False)).alias("pdf_text_unavailable")]
+    return pages.select("id", "url", where, full("title"), "content_type", *more)
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """The nine columns of a crawled page."""
+    return pages.select("url", "final_url", "title", "text", "html", "content_type", "pdf_text_unavailable", "error", "depth")
+
+
+def last_rows(history: DataFrame, at: str = "at", most: int = 8) -> DataFrame:
+    """The newest rows of a history, newest first."""
+    return history.orderBy(F.desc(at)).limit(most)
+
+
+def elapsed(seconds: Column) -> Column:
+    """S26: 'Ns' below a minute, else 'NmSSs'."""
+    s = F.floor(seconds).cast("int")
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.format_string("%dm%02ds", F.floor(s / 60).cast("int"), s % 60))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """SNK9: (at, message) as '[time] message'."""
+    return events.select(F.concat(F.lit("["), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "), F.col("message")).alias("line"))
+
+
+def run_id(at: Column, seed: Column, variant: str = "a1") -> Column:
+    """a1: time and eight hexadecimal digits of a seed's hash; a2: 'run_' and twelve digits."""
+    if variant == "a2":
+        return F.concat(F.lit("run_"), F.substring(F.sha2(seed.cast("string"), 256), 1, 12))
     return F.concat(F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.sha2(seed.cast("string"), 256), 1, 8))

@@ -22,6 +22,8 @@ DETECTORS = (
     (3, "auth", "high", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\s*[:=]"),
 )
 CONFIRMED = ("critical", "high")
+# Fixed value: the reason that stands for a review that cannot be read.
+UNREAD = "Triage parsing failed — confirming all findings for safety."
 
 
 def language(path: Column) -> Column:
@@ -37,12 +39,15 @@ def skipped(path: Column) -> Column:
     return out
 
 
-def source_files(files: DataFrame, max_files: int = 0, path_col: str = "path") -> DataFrame:
-    """Source files with their language, the first max_files by path if that is positive."""
+def source_files(files: DataFrame, max_files: int = 0, path_col: str = "path", content_chars: int | None = CONTENT_CHARS) -> DataFrame:
+    """F4, L3, SRC10: source files with their language, the first max_files by path if that is positive; contents
+    are cut at content_chars, or whole with None; rows with a `status` other than 200 are left out."""
     p = F.col(path_col)
     out = files.withColumn("language", language(p)).where(F.col("language").isNotNull() & ~skipped(p))
-    if "content" in files.columns:
-        out = out.withColumn("content", F.substring("content", 1, CONTENT_CHARS))
+    if "status" in files.columns:
+        out = out.where("status = 200")
+    if "content" in files.columns and content_chars is not None:
+        out = out.withColumn("content", F.substring("content", 1, content_chars))
     return out.orderBy(path_col).limit(max_files) if max_files > 0 else out
 
 
@@ -73,6 +78,23 @@ def reduce_findings(files: DataFrame, findings: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file")).join(counted, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
 
 
+def fold(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """AG9, DF4: one row: how many files, and all findings in order of file and number."""
+    cells = F.array_sort(F.collect_list(F.struct("file", "i", "id", "vuln_type", "severity", "evidence")))
+    return files.agg(F.count(F.lit(1)).alias("files_scanned")).crossJoin(findings.agg(cells.alias("findings")))  # two single rows
+
+
+def triaged(findings: DataFrame, reply: str | None) -> DataFrame:
+    """Findings confirmed by a reviewer's JSON reply, with its count of rejected ones and its reason; a reply that cannot be read confirms all."""
+    spark = findings.sparkSession
+    read = F.from_json(F.col("reply"), "confirmed_ids array<string>, rejected_count long, reasoning string")
+    told = spark.createDataFrame([(reply,)], "reply string").select(F.try_parse_json("reply").isNotNull().alias("ok"), read.alias("x"))
+    told = told.select(F.coalesce(F.col("ok") & F.startswith(F.trim(F.lit(reply or "")), F.lit("{")), F.lit(False)).alias("ok"), F.col("x.confirmed_ids").alias("ids"), F.coalesce("x.rejected_count", F.lit(0)).alias("rejected"), F.coalesce("x.reasoning", F.lit("")).alias("reason"))
+    both = findings.join(F.broadcast(told))  # one row
+    kept = both.where("not ok or array_contains(ids, id)")
+    return kept.select(*findings.columns, F.when(F.col("ok"), F.col("rejected")).otherwise(0).cast("long").alias("rejected"), F.when(F.col("ok"), F.col("reason")).otherwise(UNREAD).alias("reason"))
+
+
 def confirmed_ids(findings: DataFrame) -> DataFrame:
     """U11's offline rule: critical and high findings stand."""
     return findings.where(F.col("severity").isin(*CONFIRMED)).select("id")

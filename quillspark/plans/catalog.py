@@ -133,12 +133,12 @@ def edges_a4(spark, sf):
 @query
 def neighbors(spark, sf):
     ids = table(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"))
-    return graph.neighbors(_edges(spark, sf), ids).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return graph.neighbors(_edges(spark, sf), ids).select("src", "dst", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def shortest_distance(spark, sf):
-    starts = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"))
+    starts = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"))
     return graph.shortest_distances(cut(_edges(spark, sf)), starts, 2).select("start", "node", F.round("distance", 6).alias("distance"))
 
 
@@ -174,15 +174,17 @@ def upsert_chunks(spark, sf):
 def upsert_edges(spark, sf):
     e = _edges(spark, sf).select("src", "dst", "weight")
     kept = table(spark, sf, "embeddings").where("vec_id % 4 > 0").select(F.col("vec_id").alias("id"))
-    return graph.upsert_edges(e.limit(0), e, kept).select("src", "dst", F.round("weight", 6).alias("weight"))
+    old = graph.both_ways(e.where("src % 3 = 0").withColumn("weight", F.lit(2.0)))
+    return graph.upsert_edges(old, e.where("src % 2 = 0"), kept).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query
 def delete_document(spark, sf):
     e = table(spark, sf, "embeddings")
     v = e.select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"))
-    _, left = graph.delete_document(v, graph.both_ways(_edges(spark, sf).select("src", "dst", "weight")), v.where("document_id < 3").select("document_id").distinct())
-    return left.select("src", "dst", F.round("weight", 6).alias("weight"))
+    nodes, left = graph.delete_document(v, graph.both_ways(_edges(spark, sf).select("src", "dst", "weight")), v.where("document_id < 3").select("document_id").distinct())
+    none = F.lit(None)
+    return left.select("src", "dst", F.round("weight", 6).alias("weight")).unionByName(nodes.select(F.col("id").alias("src"), none.cast("long").alias("dst"), none.cast("double").alias("weight")))
 
 
 @query
@@ -296,7 +298,7 @@ def source_file_first(spark, sf):
 
 
 def _found(spark, sf):
-    files = scan.source_files(inputs.document_files(spark, sf))
+    files = scan.source_files(inputs.document_files(spark, sf), content_chars=None)
     return files, scan.with_ids(scan.detect(files))
 
 
@@ -362,8 +364,7 @@ def failures_anti(spark, sf):
 def sources_union(spark, sf):
     p = _run_pages(spark, sf)
     ok = p.where("error is null")
-    out = research.union_sections(ok.where("duplicate_of is null").select("doc_id"), ok.where("duplicate_of is not null").select("doc_id"), p.where("error is not null").select("doc_id"))
-    return out.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+    return research.union_sections(ok.where("duplicate_of is null").select("doc_id"), ok.where("duplicate_of is not null").select("doc_id"), p.where("error is not null").select("doc_id"))
 
 
 @query
@@ -395,7 +396,7 @@ def ordered_concat(spark, sf):
 
 @query
 def concepts_offline(spark, sf):
-    return _docs(spark, sf).where(F.length("text") < 3000).select("doc_id", F.array_join(providers.concepts(F.col("text")), ",").alias("concepts"))
+    return _docs(spark, sf).select("doc_id", F.array_join(providers.concepts(F.col("text")), ",").alias("concepts"))
 
 
 @query
@@ -410,14 +411,6 @@ def triage_semi_join(spark, sf):
     return d.select("doc_id", "lang").join(l.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query
-def report_markdown(spark, sf):
-    d = _docs(spark, sf).where("doc_id < 30")
-    src = d.select((F.col("doc_id") + 1).alias("n"), F.concat(F.lit("S"), (F.col("doc_id") + 1).cast("string")).alias("id"), F.concat(F.lit("http://"), F.col("source"), F.lit(".example.com/"), F.repeat(F.lit("x"), (F.col("doc_id") * 4).cast("int"))).alias("url"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("Title "), F.col("doc_id").cast("string"))).alias("title"), F.when(F.col("doc_id") % 4 != 1, F.array(F.concat(F.lit("lang "), F.col("lang")), F.col("source"))).otherwise(F.array().cast("array<string>")).alias("bullets"))
-    lines = research.report_lines(src, "tables").select("section", "n", "k", "line")
-    return lines.unionByName(research.executive_summary(src, "tables").select(F.lit(11).alias("section"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("k"), "line"))
-
-
 @query
 def ingest_counts(spark, sf):
     """AG14: chunks of each document, and edges among its first ones by offline embeddings."""

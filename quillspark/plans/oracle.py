@@ -171,15 +171,13 @@ def source_files(files: str) -> str:
 
 
 def found() -> str:
-    parts = [f"SELECT path AS file, {o} AS det_ord, '{k}' AS vuln_type, '{s}' AS severity, unnest(regexp_extract_all(substr(content, 1, 50000), {q(rx)})) AS evidence, generate_subscripts(regexp_extract_all(substr(content, 1, 50000), {q(rx)}), 1) - 1 AS pos FROM sf" for o, k, s, rx in S.DETECTORS]
+    parts = [f"SELECT path AS file, {o} AS det_ord, '{k}' AS vuln_type, '{s}' AS severity, unnest(regexp_extract_all(content, {q(rx)})) AS evidence, generate_subscripts(regexp_extract_all(content, {q(rx)}), 1) - 1 AS pos FROM sf" for o, k, s, rx in S.DETECTORS]
     return f"{source_files(inputs.DOC_FILES)}, fd AS ({' UNION ALL '.join(parts)}), fn AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY det_ord, pos) - 1 AS i FROM fd), fs AS (SELECT *, concat_ws(':', file, vuln_type, i) AS id FROM fn)"
 
 
 RUN = "rp AS (SELECT doc_id, text, 'http://' || source || '.example.com/' || doc_id AS url, CASE WHEN doc_id % 17 = 0 THEN 'http_500' END AS error, CASE WHEN doc_id % 5 = 4 THEN 'S1' END AS duplicate_of FROM documents)"
 USABLE = f"length({strip('text')}) >= 50"
 MEDIA = "CASE lower(regexp_extract(" + part("url", 3) + r", '\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in U.MEDIA_TYPES.items()) + " ELSE 'application/octet-stream' END"
-REPORT_SRC = "src AS (SELECT doc_id + 1 AS n, 'S' || (doc_id + 1) AS id, 'http://' || source || '.example.com/' || repeat('x', doc_id * 4) AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Title ' || doc_id END AS title, CASE WHEN doc_id % 4 <> 1 THEN ['lang ' || lang, source] ELSE [] END AS bullets, source FROM documents WHERE doc_id < 30), sn AS (SELECT *, coalesce(nullif(title, ''), url) AS name FROM src)"
-HEADS = "VALUES (0, '# Deep Research Report: tables'), (10, '## Executive Summary'), (20, '## Key Findings'), (30, '## Deep Dive'), (40, '## Contradictions and Uncertainty'), (50, '## What to Read Next'), (60, '## Source Library'), (61, '| ID | Title | URL |'), (62, '|----|-------|-----|')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -205,11 +203,11 @@ def oracle_sql() -> dict[str, str]:
         "vector_topk_filtered": f"WITH {NEAR}, z AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM r WHERE rank <= 10 AND label < 5) SELECT query_id, vec_id, round(s, 6) AS sim, rank FROM z WHERE rank <= 5",
         "edges_a3": f"WITH {edges('a3')} SELECT src, dst, round(sim, 6) AS sim, shared, round(weight, 6) AS weight FROM e",
         "edges_a4": f"WITH {edges('a4')} SELECT src, dst, round(sim, 6) AS sim, shared, round(weight, 6) AS weight FROM e",
-        "neighbors": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight FROM bw WHERE src % 10 = 0",
-        "shortest_distance": f"WITH {edges('a3')}, {BOTH}, st AS (SELECT src, dst, CASE WHEN weight > 0 THEN 1 / weight ELSE 10 END AS cost FROM bw), h0 AS (SELECT vec_id AS start, vec_id AS node, 1.0::DOUBLE AS d FROM embeddings WHERE vec_id % 100 = 0), h1 AS (SELECT start, dst AS node, d + cost AS d FROM h0 JOIN st ON node = src), h2 AS (SELECT start, dst AS node, d + cost AS d FROM h1 JOIN st ON node = src) SELECT start, node, round(min(d), 6) AS distance FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY start, node",
+        "neighbors": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM bw WHERE src % 10 = 0",
+        "shortest_distance": f"WITH {edges('a3')}, {BOTH}, st AS (SELECT src, dst, CASE WHEN weight > 0 THEN 1 / weight ELSE 10 END AS cost FROM bw), h0 AS (SELECT vec_id AS start, vec_id AS node, 1.0::DOUBLE AS d FROM embeddings WHERE vec_id % 20 = 0), h1 AS (SELECT start, dst AS node, d + cost AS d FROM h0 JOIN st ON node = src), h2 AS (SELECT start, dst AS node, d + cost AS d FROM h1 JOIN st ON node = src) SELECT start, node, round(min(d), 6) AS distance FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY start, node",
         "upsert_chunks": "SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
-        "upsert_edges": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight FROM bw WHERE src % 4 > 0 AND dst % 4 > 0",
-        "delete_document": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight FROM bw JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE a.label >= 3 AND b.label >= 3",
+        "upsert_edges": f"WITH {edges('a3')}, nw AS (SELECT src, dst, weight FROM e WHERE src % 2 = 0 AND src % 4 > 0 AND dst % 4 > 0), nb AS (SELECT src, dst, weight FROM nw UNION ALL SELECT dst, src, weight FROM nw), od AS (SELECT src, dst FROM e WHERE src % 3 = 0 UNION ALL SELECT dst, src FROM e WHERE src % 3 = 0) SELECT src, dst, round(weight, 6) AS weight FROM nb UNION ALL SELECT src, dst, 2.0 FROM od ANTI JOIN nb USING (src, dst)",
+        "delete_document": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight FROM bw JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE a.label >= 3 AND b.label >= 3 UNION ALL SELECT vec_id, NULL, NULL FROM embeddings WHERE label >= 3",
         "collection_names": "SELECT page_id, 'graphrag_' || left(sha256(url), 16) AS name FROM pages",
         "page_title": f"SELECT page_id, CASE WHEN {meta('og:title')} <> '' THEN {meta('og:title')} ELSE {strip(decode('regexp_extract(html, ' + q(r'(?is)<title\b[^>]*>(.*?)</title\s*>') + ', 1)'))} END AS title, {meta('author', 'name')} AS author, CASE WHEN {meta('article:published_time')} <> '' THEN {meta('article:published_time')} ELSE {meta('datePublished', 'name')} END AS published FROM pages",
         "page_text": f"SELECT page_id, {page_text('a1')} AS text FROM pages",
@@ -235,21 +233,16 @@ def oracle_sql() -> dict[str, str]:
         "run_stats_a1": f"WITH {RUN}, z AS (SELECT *, error IS NULL AND {USABLE} AS good FROM rp) SELECT count(*) FILTER (good) AS fetched, count(*) FILTER (good AND duplicate_of IS NULL) AS kept, count(*) FILTER (good AND duplicate_of IS NOT NULL) AS duplicates, count(*) FILTER (error IS NOT NULL) AS failures FROM z",
         "run_stats_a2": f"WITH {RUN}, z AS (SELECT *, error IS NULL AND text <> '' AS good FROM rp) SELECT count(*) AS fetched, least(count(*) FILTER (good AND duplicate_of IS NULL), 20) AS kept, count(*) FILTER (good AND duplicate_of IS NOT NULL) AS duplicates, count(*) FILTER (error IS NOT NULL) AS failures FROM z",
         "failures_anti": f"WITH {RUN}, fa AS (SELECT doc_id AS ord, 'u' || (doc_id % 40) AS url, error FROM rp WHERE error IS NOT NULL) SELECT min(ord) AS ord, url, arg_min(error, ord) AS error FROM fa WHERE url NOT IN (SELECT 'u' || doc_id FROM rp WHERE error IS NULL AND doc_id < 20) GROUP BY url",
-        "sources_union": f"WITH {RUN} SELECT CAST(CASE WHEN error IS NOT NULL THEN 2 WHEN duplicate_of IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS section, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM rp GROUP BY 1",
+        "sources_union": f"WITH {RUN} SELECT CAST(CASE WHEN error IS NOT NULL THEN 2 WHEN duplicate_of IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS section, doc_id FROM rp",
         "enrich_records": "WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS title FROM documents), f AS (SELECT id, id % 2 = 0 AS has, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 'someone' END AS new_author, title FROM r) SELECT id, CASE WHEN has THEN 'new' ELSE title END AS title, new_author AS author, CASE WHEN has THEN '2025' ELSE '2024' END AS published_at, 'a1' AS variant FROM f UNION ALL SELECT id, CASE WHEN title <> '' THEN title WHEN has THEN 'new' END, CASE WHEN has THEN CASE WHEN id % 4 = 0 THEN '' ELSE 'someone' END END, '2024', 'a2' FROM f",
         "llm_json_extract": f"""WITH r AS ({inputs.REPLIES}) SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN reply WHEN 1 THEN '{{"turn": ' || turn || '}}' WHEN 2 THEN '{{"turn": ' || turn || ', "ok": true}}' END AS found, CASE WHEN (conv_id + turn) % 4 < 3 THEN turn END AS value FROM r""",
         "event_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "ordered_concat": "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, count(*) AS turns FROM conversations GROUP BY conv_id",
-        "concepts_offline": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(WORD)})) AS t FROM documents WHERE length(text) < 3000), c AS (SELECT doc_id, t, count(*) AS n FROM w WHERE length(t) >= 4 GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) AS r FROM c), g AS (SELECT doc_id, string_agg(t, ',' ORDER BY r) AS concepts FROM r WHERE r <= 20 GROUP BY doc_id) SELECT d.doc_id, coalesce(g.concepts, '') AS concepts FROM documents d LEFT JOIN g USING (doc_id) WHERE length(text) < 3000",
+        "concepts_offline": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(WORD)})) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w WHERE length(t) >= 4 GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) AS r FROM c), g AS (SELECT doc_id, string_agg(t, ',' ORDER BY r) AS concepts FROM r WHERE r <= 20 GROUP BY doc_id) SELECT d.doc_id, coalesce(g.concepts, '') AS concepts FROM documents d LEFT JOIN g USING (doc_id)",
         "triage_semi_join": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "rate_schedule": f"SELECT page_id, {authority('url')} AS domain, row_number() OVER (PARTITION BY {authority('url')} ORDER BY page_id) - 1 AS second FROM pages",
         "extracted_pages": "WITH w AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN url || '/missing' ELSE url END AS url FROM pages) SELECT page_id, url, CAST(CASE WHEN url IN (SELECT url FROM pages) THEN 200 ELSE 404 END AS BIGINT) AS status, CASE WHEN url IN (SELECT url FROM pages) THEN NULL ELSE 'http_404' END AS error FROM w",
-        "report_markdown": f"""WITH {REPORT_SRC}, f AS (SELECT * FROM sn WHERE len(bullets) > 0 ORDER BY n LIMIT 8), t AS (SELECT *, row_number() OVER (ORDER BY n) AS r FROM sn ORDER BY n LIMIT 5)
-SELECT CAST(a AS INTEGER) AS section, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS k, b AS line FROM ({HEADS}) h(a, b)
-UNION ALL SELECT 21, n, CAST(generate_subscripts(list_concat([''], bullets), 1) - 1 AS INTEGER), unnest(list_concat(['### From [' || id || '] — ' || name], list_transform(bullets, lambda x: '- ' || x))) FROM f
-UNION ALL SELECT 31, n, CAST(generate_subscripts(list_concat([''], bullets), 1) - 1 AS INTEGER), unnest(list_concat(['### ' || name || ' [' || id || ']'], list_transform(bullets, lambda x: '- ' || x))) FROM sn WHERE len(bullets) > 0
-UNION ALL SELECT 51, n, 0, r || '. **[' || name || '](' || url || ')** [' || id || ']' FROM t
-UNION ALL SELECT 63, n, 0, '| ' || id || ' | ' || left(coalesce(nullif(title, ''), '—'), 50) || ' | ' || left(url, 60) || CASE WHEN length(url) > 60 THEN '…' ELSE '' END || ' |' FROM sn
-UNION ALL SELECT 11, 0, 0, 'This report synthesizes findings on **tables** from ' || count(*) || ' sources spanning domains including ' || array_to_string(list_sort(list(DISTINCT source || '.example.com'))[1:5], ', ') || '.' FROM sn""",
     }
-    return out
+    from quillspark.plans import flows_sql
+
+    return out | flows_sql.oracle_sql()

@@ -1,4 +1,4 @@
-"""Sinks (SNK1-SNK9)."""
+"""Sinks (SNK3, SNK5-SNK8); logs are in operators.research, graph tables in operators.graph."""
 
 from __future__ import annotations
 
