@@ -578,6 +578,42 @@ def test_uniform_strings_have_uniform_p():
     assert 0.3 < np.mean(p) < 0.7 and np.mean(np.array(p) < 0.01) < 0.05
 
 
+def test_reported_strings_hold_few_false_ones(spark, texts):
+    """Planted random strings among made ordinary ones, in real texts: few of the others reported; those of 40 characters
+    and more nearly all found, of 24, which tell less, most."""
+    rng = random.Random(4)
+    base62, prose = secrets.ALPHABETS["base62"], [w for t in texts.text[:300] for w in re.findall("[a-z]{3,9}", t)]
+    rows, planted = [], {}
+    for i, t in enumerate(texts.text[:600]):
+        clean = re.sub(r"[A-Za-z0-9+/_=-]{20,}", "", t or "")
+        n = rng.choice((24, 40, 70, 140))
+        if i % 3 == 0:
+            planted[i] = n
+            extra = "".join(rng.choice(base62) for _ in range(n))
+        else:
+            extra = ""
+            while len(extra) < n:
+                extra += rng.choice(prose) + rng.choice(("", "_", "-", str(rng.randrange(100))))
+            extra += "7"
+        rows.append((i, f"{clean} {extra} end"))
+    got = {r["doc_id"]: sum(x["kind"] == 3 for x in r["spans"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = {i for i, n in got.items() if n}
+    long, short = ({i for i, n in planted.items() if (n >= 40) == x} for x in (True, False))
+    assert len(hit & long) >= 0.95 * len(long) and len(hit & short) >= 0.5 * len(short) and len(hit - set(planted)) <= 0.1 * len(hit)
+
+
+def test_reported_bins_equal_plain_step():
+    rng = random.Random(2)
+    for _ in range(50):
+        law = {(c, b): rng.randrange(1, 50) for c in range(4) for b in rng.sample(range(200), 20)}
+        cand = {(c, b): rng.randrange(1, 4) for c in range(4) for b in rng.sample(range(60), 5)}
+        p = sorted(((1 + sum(n for (d, e), n in law.items() if d == c and e <= b)) / (1 + sum(n for (d, _), n in law.items() if d == c)), c, b) for (c, b), k in cand.items() for _ in range(k))
+        k = max((i for i, x in enumerate(p, 1) if x[0] <= 0.2 * i / len(p)), default=0)
+        limit = p[k - 1][0] if k else -1
+        want = [max((b for v, c, b in p if c == cls and v <= limit), default=-1) for cls in range(4)]
+        assert secrets.reported_bins(cand, law, 0.2) == want
+
+
 def test_secret_scan_of_odd_rows(spark, odd):
     assert secrets.scan(odd).count() == 10 and secrets.scan(odd.limit(0)).count() == 0
 
@@ -590,7 +626,7 @@ def test_secrets_at_the_start_of_a_text(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["base"]] for r in secrets.scan(rows).collect()}
     assert got == {i: secrets.scan_text(t or "")[0] for i, t in enumerate(texts)} and [i for i in got if got[i]] == [1, 3, 4, 5, 10]
-    found = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(rows, q=0.0).collect()}
+    found = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(rows, q=1.0).collect()}
     assert found[7] == found[15] == 1
 
 
