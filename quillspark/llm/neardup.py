@@ -48,6 +48,7 @@ FEW_OUTSIDE = 1024
 SMALL_BUCKET = 32
 BLOCK_MEMBERS, BLOCK_OUTSIDE, BLOCK_SHINGLES = 1024, 256, 1 << 20
 BATCH_BINS = 32
+BATCH_BYTES = 1 << 20
 FILTER_BITS = 1 << 27
 MISS = 1e-6
 HEAVY_KEYS = 20_000
@@ -86,7 +87,7 @@ def sketch(rows: DataFrame) -> DataFrame:
     """rid, n_shingles, k1, k2 (hashes of the set), bands (keys), sig (bins); null without shingles."""
 
     def run(batches):
-        for b in sub_batches(batches):
+        for b in sub_batches(batches, limit=BATCH_BYTES):
             data, offs = text_buffer(b.column(1))
             starts, ends, first = word_bounds(data, offs)
             h, row, other = shingle_sets(word_hashes(data, starts, ends, lower=True), first, WIDTH, word_hashes(data, starts, ends, lower=True, lane=1))
@@ -121,6 +122,7 @@ def bands(classes: DataFrame) -> DataFrame:
             keys = _matrix(b.column(1), "<u8", BANDS)
             fine = mix(keys * MULTS[24] + np.roll(keys, -1, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(fine.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "fine", "cid"])
+        tidy()
 
     return classes.select("cid", "bands").mapInArrow(run, "key long, fine long, cid long")
 
@@ -137,6 +139,7 @@ def sub_bands(members: DataFrame, classes: DataFrame) -> DataFrame:
             keys = mix((values * MULTS[25 : 25 + SUB_ROWS]).sum(2) + key[:, None] + np.arange(1, SUB_BANDS + 1, dtype=np.uint64) * MULTS[20])
             keys = pa.array(keys.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([keys, keys, pa.array(np.repeat(b.column(1).to_numpy(), SUB_BANDS))], names=["key", "fine", "cid"])
+        tidy()
 
     return members.join(classes, "cid").select("key", "cid", "sig").mapInArrow(run, "key long, fine long, cid long")
 
@@ -205,6 +208,8 @@ def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
             at = whole.column(2).to_numpy()
             hit = (have[at >> 6] >> (at & 63).astype(np.uint64)) & U64(1)
             yield whole.select([0, 1]).take(pa.array(np.flatnonzero(hit)))
+            del whole
+        tidy()
 
     place = F.pmod(F.xxhash64("cid"), F.lit(64 * len(have))).alias("p")
     return rows.where("text is not null").select(F.col("rid").alias("cid"), "text").select("cid", "text", place).mapInArrow(run, "cid long, text string")
@@ -214,7 +219,7 @@ def hashed_sets(texts: DataFrame) -> DataFrame:
     """(cid, words): the sorted shingle hashes of each text."""
 
     def run(batches):
-        for b in sub_batches(batches):
+        for b in sub_batches(batches, limit=BATCH_BYTES):
             data, offs = text_buffer(b.column(1))
             starts, ends, first = word_bounds(data, offs)
             h, row = shingle_sets(word_hashes(data, starts, ends, lower=True), first, WIDTH)
@@ -380,6 +385,7 @@ def planes(classes: DataFrame) -> DataFrame:
             words = np.concatenate(bits, axis=1).view(np.int64).reshape(-1)
             ends = pa.array(np.arange(b.num_rows + 1) * WORDS * (PLANES + 1), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(words))], names=["cid", "n", "bits"])
+        tidy()
 
     return classes.select("cid", "n", "sig").mapInArrow(run, "cid long, n long, bits array<long>")
 
@@ -404,6 +410,7 @@ def own_shingles(sets: DataFrame) -> DataFrame:
                 words = np.frombuffer(b"".join(x.column(1).to_pylist()), np.int64)
                 size = [len(w) // 8 for w in x.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.repeat(x.column(0).to_numpy(), size))], names=["h", "cid"])
+        tidy()
 
     each = sets.mapInArrow(run, "h long, cid long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid"))
     return each.where("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
