@@ -10,8 +10,8 @@ id table that also carries each document's offset in its partition; ids are coun
 table; blocks are coded from it.  The driver sees one number for each range partition and one for each
 vocabulary entry.
 
-Tokenizing splits a text where a white-space character follows another character, which the byte-level
-pre-tokenizer never joins, and tokenizes each distinct piece once per worker.  Pieces are told apart by
+Tokenizing splits a text where a white-space character follows another character, or an ASCII sign other than
+the apostrophe an ASCII letter, which the byte-level pre-tokenizer never joins, and tokenizes each distinct piece once per worker.  Pieces are told apart by
 their bytes.  The text of a special token gives the token's id, as the tokenizers library has it.
 
 Defined cases: null and empty texts give the end id alone; rows that repeat a doc_id come in order of
@@ -42,6 +42,12 @@ RUN_PIECES = 64
 TEXT_BYTES = 2 << 20
 GAP = SPACE.copy()
 GAP[0x1C:0x20] = True
+LETTER = np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+SIGN = np.zeros(256, bool)
+SIGN[0x21:0x7F] = True
+SIGN[0x30:0x3A] = SIGN[0x27] = False
+SIGN &= ~LETTER
 
 
 class Tokens:
@@ -52,6 +58,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.sign = SIGN.copy()  # nothing is cut inside the text of a special token
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.sign[list(token.content.encode())] = False
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # byte-level vocabularies have one character a byte
@@ -117,7 +126,10 @@ class Tokens:
             at = np.setdiff1d(at, high[wide], assume_unique=True)
         cut = np.zeros(n, bool)
         cut[at] = True
-        safe = cut.copy()  # no pre-token spans such a place
+        opens = cut.copy()  # no pre-token spans such a place, whatever stands before it
+        # ASCII signs after an ASCII letter begin a pre-token too (but for apostrophes, which contractions take)
+        cut[np.flatnonzero(self.sign[data[1:]] & LETTER[data[:-1]]) + 1] = True
+        closes = cut.copy()
         cut[offs[:-1][offs[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
@@ -133,8 +145,8 @@ class Tokens:
             first = np.empty(len(pieces), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             some = first[new]
-            safe = np.append(safe, False)
-            self._learn([pieces[i] for i in new.tolist()], safe[starts[some]] & safe[ends[some]])
+            closes = np.append(closes, False)
+            self._learn([pieces[i] for i in new.tolist()], opens[starts[some]] & closes[ends[some]])
         count = self.count[at][codes]
         done = np.cumsum(count)
         ids = self.pool[np.repeat(self.place[at][codes] - (done - count), count) + np.arange(int(done[-1]))]

@@ -106,8 +106,10 @@ def test_pieces_equal_whole_texts():
     rng = random.Random(1)
     chars = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0　  ab'stéè1２.<|endoftext|>ñ漢"
     some = ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    some += ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y.", "end<|endoftext|", "it's o'clock, isn't it? No-one's \"there\".", "a.b,c;d'e'f (g)h!"]
     tokens = tokenstream.Tokens(tokenstream.default_tokenizer())
     ids, bounds = tokens.encode(*text_buffer(pa.array(some)))
+    assert 50256 in ids
     want = [e.ids for e in tokens.tokenizer.encode_batch(some, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
