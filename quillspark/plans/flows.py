@@ -157,7 +157,7 @@ def enrich_offline(spark, sf):
 def _replied(spark, sf):
     e = inputs.alerts(spark, sf).where("alert_text <> '  '")
     k = F.col("event_id") % 4
-    reply = F.when(k == 0, F.concat(F.lit('Sure: {"probable_root_cause": "disk", "confidence": '), F.round("confidence", 3).cast("string"), F.lit(', "needs_external_knowledge": false} ok'))).when(k == 1, "no idea").when(k == 2, "{broken}").otherwise('{"confidence": 0.9}')
+    reply = F.when(k == 0, F.concat(F.lit('Sure: {"probable_root_cause": "disk", "confidence": '), (F.floor(F.col("confidence") * 1000) / 1000).cast("string"), F.lit(', "needs_external_knowledge": false} ok'))).when(k == 1, "no idea").when(k == 2, "{broken}").otherwise('{"confidence": 0.9}')
     return e.withColumn("reply", reply)
 
 

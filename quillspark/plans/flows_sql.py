@@ -76,7 +76,7 @@ def oracle_sql() -> dict[str, str]:
         "concept_union": "SELECT doc_id, array_to_string(list_sort(list_distinct([lower(source), 'two ' || lower(lang)])), ';') AS concepts FROM documents",
         "judge_replies": "SELECT conv_id, turn, (conv_id + turn) % 3 <> 1 AS complete, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'it is ' || role ELSE '' END AS answer FROM conversations",
         "enrich_offline": f"SELECT doc_id, source AS title, CASE WHEN doc_id % 3 > 0 THEN 'One ' || lang || '.;Two ' || source || '!' ELSE {lit(P.UNAVAILABLE['a2'])} END AS bullets, CASE WHEN doc_id % 3 > 0 THEN '' ELSE {lit(P.UNRATED['a2'])} END AS notes FROM documents",
-        "outage_flow": f"WITH {classified()}, v AS (SELECT *, CASE event_id % 4 WHEN 0 THEN round(confidence, 3) WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE 0.9 END AS cf FROM c WHERE alert_text <> '  ') SELECT event_id, 'Issue detected in ' || service || ' with severity ' || severity || '.' AS summary, strftime(ts, 'inc-%Y-%m-%d-%H%M') AS incident_id, CASE event_id % 4 WHEN 0 THEN 'disk' WHEN 2 THEN 'malformed reply' ELSE 'Unknown' END AS root_cause, round(CAST(coalesce(cf, 0) AS DOUBLE), 6) AS confidence, {escalates} OR coalesce(cf, 0) < 0.6 AS should_escalate, event_id % 4 <> 0 AS needs_external, 'No critical errors for ' || service || ' before alert.' AS recent_logs FROM v",
+        "outage_flow": f"WITH {classified()}, v AS (SELECT *, CASE event_id % 4 WHEN 0 THEN floor(confidence * 1000) / 1000 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE 0.9 END AS cf FROM c WHERE alert_text <> '  ') SELECT event_id, 'Issue detected in ' || service || ' with severity ' || severity || '.' AS summary, strftime(ts, 'inc-%Y-%m-%d-%H%M') AS incident_id, CASE event_id % 4 WHEN 0 THEN 'disk' WHEN 2 THEN 'malformed reply' ELSE 'Unknown' END AS root_cause, round(CAST(coalesce(cf, 0) AS DOUBLE), 6) AS confidence, {escalates} OR coalesce(cf, 0) < 0.6 AS should_escalate, event_id % 4 <> 0 AS needs_external, 'No critical errors for ' || service || ' before alert.' AS recent_logs FROM v",
         "external_knowledge": f"WITH {classified()}, t AS (SELECT doc_id AS ord, concat_ws(' ', lang, source, [{names}][doc_id % {len(A.SERVICES)} + 1]) AS title FROM documents), h AS (SELECT s.service, ord, title, row_number() OVER (PARTITION BY s.service ORDER BY ord) AS r FROM (SELECT DISTINCT service FROM c) s JOIN t ON contains(lower(title), s.service)), k AS (SELECT service, string_agg(title, chr(10) ORDER BY ord) AS knowledge FROM h WHERE r <= 3 GROUP BY service) SELECT event_id, service, knowledge FROM c LEFT JOIN k USING (service)",
         "findings_fold": f"WITH {found()} SELECT (SELECT count(*) FROM sf) AS files_scanned, count(*) AS findings, md5(coalesce(string_agg(id, ',' ORDER BY file, i), '')) AS ids_md5 FROM fs",
         "triage_unread": f"WITH {found()} SELECT id, CAST(0 AS BIGINT) AS rejected, {lit(S.UNREAD)} AS reason FROM fs",
