@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.shared import written
 
-MOST_ROUNDS = 60
 LOCAL_EDGES = 200_000
 
 
@@ -40,15 +39,15 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (u, v): every linked id that is not the smallest of its component, and that one.
 
     Tables of at most LOCAL_EDGES edges (about 3 MB) are joined in one task.  Beyond that size, steps use
-    minima and joins only, so that an id with very many links is never gathered in a task.
-    An id without links has no row.
+    minima and joins only, so that an id with very many links is never gathered in a task; they go on until
+    a step changes nothing.  An id without links has no row; an empty table gives no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, _ = written(edges, "edges")
     before = _mark(edges)
     if before[0] <= LOCAL_EDGES:
         return written(edges.coalesce(1).mapInArrow(_union_find, "u long, v long"), "components")[0]
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -815,6 +815,24 @@ def test_pipeline(spark, sf):
     assert set(got.doc_id) == ids and got.n_tokens.min() >= 1
 
 
+def test_pipeline_over_odd_rows(spark, sf, tmp_path):
+    """Each stage takes nulls, empty, long and repeated rows, and an empty table; columns stay."""
+    import corpus_pipeline
+
+    long = " ".join(f"the word{i} and" for i in range(1500))
+    rows = [(0, None, None, None, None), (1, "", "en", "a", 0), (2, long, "en", "a", 1), (3, long, "en", None, 1), (3, long, "en", None, 1), (4, "one of the two", "en", "b", 2), (None, "one of the two", None, "b", 2), (6, " \t\n", "de", "b", 3), (7, "der Hund und die Katze", "de", "a", 1), (2, "another text of the same id", "en", "a", 1)]
+    kinds = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == kinds.names and docs.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+    none = spark.createDataFrame([], kinds)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+
+
 def test_registered_queries():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{i}" for i in range(1, 11)}
