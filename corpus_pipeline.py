@@ -1,4 +1,9 @@
-"""A corpus pipeline: language ID, near-dedup, decontamination, mixing, token output."""
+"""A corpus pipeline: language ID, near-dedup, decontamination, mixing, token output.
+
+Every stage takes null, empty, very long and repeated texts, null and repeated ids, null sources and empty
+tables: texts that are null or without letters leave with the first stage; one row of each group of equal
+or near texts stays; a row with a null id is a row like others; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from quillspark.llm.tokenstream import stream_digest
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; what the classifier rejects goes."""
+    """Documents of a learned language; `und` and what lies below the classifier's limits goes."""
     return keep_known(docs)
 
 
@@ -28,7 +33,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix of sources takes, once per pass."""
+    """What the mix's shards drew, shard by shard: a row for each block of at most 1,024 words, so that a
+    longer document comes as several rows of one id, and a document of two passes twice."""
     return mixed_documents(docs)
 
 

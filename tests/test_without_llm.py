@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_entry_imports_without_the_subpackage(tmp_path):
     shutil.copytree(f"{ROOT}/quillspark", tmp_path / "quillspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q); from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert q['source_file_first'](s, '/root/testdata/sf0.001').count() == 10"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     source = "".join(open(os.path.join(d, f)).read() for d, _, fs in os.walk(tmp_path / "quillspark") for f in fs if f.endswith(".py"))
     assert "quillspark.llm" not in source
