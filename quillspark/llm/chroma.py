@@ -18,7 +18,7 @@ tasks by the adaptive split of skewed joins.
 
 Defined cases: null, empty and too short recordings have an empty fingerprint, are a class of their own
 each and match nothing; silence gives the integer of equal areas; repeated ids count as one recording, the
-longest fingerprint; ties in error go to more hits, then to the smaller shift; an empty table gives no rows;
+longest fingerprint; ids may be of any type that sorts; ties in error go to more hits, then to the smaller shift; an empty table gives no rows;
 other columns are not read.
 """
 
@@ -93,6 +93,10 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
     return out
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def fingerprints(recordings: DataFrame, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
     """(id, prints): audio is binary, 16-bit little-endian mono PCM at RATE."""
 
@@ -102,8 +106,8 @@ def fingerprints(recordings: DataFrame, id_col: str = "id", audio_col: str = "au
             prints = [fingerprint(chroma(np.frombuffer(a[: len(a) // 2 * 2], "<i2").astype(np.float64) / 32768, table)).astype(np.int64).tolist() if a is not None else [] for a in b["audio"]]
             yield pd.DataFrame({"id": b["id"], "prints": prints})
 
-    picked = recordings.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio"))
-    return picked.mapInPandas(run, "id long, prints array<long>")
+    picked = recordings.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio"))
+    return picked.mapInPandas(run, f"id {_kind(picked, 'id')}, prints array<long>")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -159,7 +163,7 @@ def keyed(reps: DataFrame) -> DataFrame:
                 keys, row, pos = window_keys(prints.flatten().to_numpy().astype(np.uint32), bounds)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys.view(np.int64)), pa.array(pos, pa.int32())], names=["class_id", "v", "pos"])
 
-    return reps.select("class_id", "prints").mapInArrow(run, "class_id long, v long, pos int")
+    return reps.select("class_id", "prints").mapInArrow(run, f"class_id {_kind(reps, 'class_id')}, v long, pos int")
 
 
 def matches(of: DataFrame, queries: DataFrame, least_hits: int = LEAST_HITS, most_error: float = MOST_ERROR) -> DataFrame:
@@ -192,7 +196,8 @@ def matches(of: DataFrame, queries: DataFrame, least_hits: int = LEAST_HITS, mos
                     rows.append((query, other, o, -hits, n, error))
             yield pd.DataFrame(rows, columns=["query_class", "class_id", "offset", "hits", "overlap", "error"])
 
-    return both.mapInPandas(measure, "query_class long, class_id long, offset int, hits long, overlap long, error double")
+    kind = _kind(of, "class_id")
+    return both.mapInPandas(measure, f"query_class {kind}, class_id {kind}, offset int, hits long, overlap long, error double")
 
 
 def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -215,7 +220,8 @@ def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 some = b.iloc[at : at + BATCH_ROWS]
                 yield pd.DataFrame({"id": some["id"], "audio": [melody(v) for v in some["v"]]})
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, "id long, audio binary")
+    picked = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    return picked.mapInPandas(run, f"id {_kind(picked, 'id')}, audio binary")
 
 
 def in_small_batches(spark, act):

@@ -421,6 +421,19 @@ def test_chroma_tries_every_offset(spark):
     assert [(r["class_id"], r["offset"]) for r in got] == [(2, 0)]
 
 
+def test_chroma_of_other_ids_and_ties(spark):
+    """String ids, repeated ids (the longest fingerprint counts), and of equally good offsets the smaller shift."""
+    rng = np.random.default_rng(3)
+    tune = rng.integers(0, 24, 60).tolist()
+    rows = [("a", tone(tune)), ("a", tone(tune[:20])), ("b", tone(tune[8:])), ("c", tone(rng.integers(0, 24, 60)))]
+    of = chroma.classes(chroma.fingerprints(spark.createDataFrame(rows, "id string, audio binary"))).cache()
+    got = [(r["query_class"], r["class_id"], r["offset"]) for r in chroma.matches(of, of.where("id = 'a'").select("id")).collect()]
+    assert of.count() == 3 and got == [("a", "b", 16)]
+    x = rng.integers(0, 2**32, 40).tolist()
+    two = spark.createDataFrame([(1, 1, x), (2, 2, x + x)], "id long, class_id long, prints array<long>")
+    assert [r["offset"] for r in chroma.matches(two, two.where("id = 1").select("id")).collect()] == [0]
+
+
 def test_chroma_renders_all_components(spark):
     v = spark.createDataFrame([(1, [0.1] * 64), (2, [0.1] * 63 + [-0.9])], "vec_id long, embedding array<double>")
     a, b = (bytes(r["audio"]) for r in chroma.render(v).orderBy("id").collect())
