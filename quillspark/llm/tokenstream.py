@@ -89,9 +89,7 @@ class Tokens:
         joined = int(joinable.sum())
         for at in range(0, joined, RUN_PIECES):
             some = order[at : min(joined, at + RUN_PIECES)]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([texts[i] for i in some]).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(texts[i]) for i in some), np.int64, len(some)))
-            counts[some] = np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right"), prepend=0)
+            ids, counts[some] = self._run([texts[i] for i in some])
             pieces.append(ids)
         for at in range(joined, len(order), RUN_PIECES):
             some = order[at : at + RUN_PIECES]
@@ -111,6 +109,12 @@ class Tokens:
         self.known.update(zip(texts, range(at, at + len(texts)), strict=True))
         self.held += sum(map(len, texts))
 
+    def _run(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of joinable pieces, as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(texts).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right"), prepend=0)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds per row) of the texts in an Arrow buffer, without end ids."""
         n = len(data)

@@ -1,0 +1,329 @@
+"""Resampling, packing and runs against plain versions, with odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillspark.llm import packing, resampling, runs
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id {}, text string, rank long, length long, start string, eligible string, task long, h string, score double"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return pd.read_parquet(f"{SMALL}/documents.parquet")
+
+
+def odd_rows():
+    long = " ".join(f"W{i % 700} w" for i in range(4000))
+    again = "one two three four five six seven eight nine ten " * 3
+    texts = [None, "", long, again, again, "aa " * 30, " \t\n", "漢字 É ß'S 12.5 " * 9, "x" * 5000 + " y", again.upper()]
+    return list(zip([5, 1, 2, 3, 3, None, 4, None, 7, 3], texts, strict=True))
+
+
+@pytest.fixture(scope="module", params=["long", "string"])
+def odd(spark, request):
+    """(plain rows, table): null, empty, very long, repeated texts; null, repeated, string ids; clashing names."""
+    rows = [(i if i is None or request.param == "long" else f"id{i}", t) for i, t in odd_rows()]
+    return rows, spark.createDataFrame([(*r, 1, 2, "3", "4", 5, "6", 7.0) for r in rows], SCHEMA.format(request.param)).repartition(3)
+
+
+def cells(x):
+    return tuple(None if pd.isna(v) else v for v in x)
+
+
+def same(got, want):
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(cells, got), key=key) == sorted(map(cells, want), key=key)
+
+
+# --- 11 -----------------------------------------------------------------------------------------
+
+
+def plain_draw(rows, target, max_n, buckets, percent, least):
+    def grams(t):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        return len(w), [zlib.crc32(b" ".join(w[i : i + n])) % buckets for n in range(1, max_n + 1) for i in range(len(w) - n + 1)]
+
+    s, t = np.zeros(buckets, int), np.zeros(buckets, int)
+    found = [grams(x) for _, x in rows]
+    for counts, some in ((s, [f for _, f in found]), (t, [grams(x)[1] for x in target])):
+        for f in some:
+            np.add.at(counts, f, 1)
+    gain = [math.floor(1000 * math.log((b + 1) * (s.sum() + buckets) / ((a + 1) * (t.sum() + buckets)))) for a, b in zip(s, t, strict=True)]
+    out = []
+    for (i, _), (n, f) in zip(rows, found, strict=True):
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    order = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, str(r[0])))
+    for rank, r in enumerate(order[: len(order) * percent // 100], 1):
+        r[4] = rank
+    return [r[:5] for r in out]
+
+
+@pytest.mark.parametrize(("max_n", "buckets"), [(1, 10_000), (2, 100_003)])
+def test_resampling_of_odd_rows(spark, odd, max_n, buckets):
+    rows, docs = odd
+    goal = ["one two three", None, "", "w W5 é"]
+    target = spark.createDataFrame([(t, 1) for t in goal], "text string, doc_id long")
+    settings = {"max_n": max_n, "buckets": buckets, "percent": 60, "least_words": 3}
+    want = plain_draw(rows, goal, max_n, buckets, 60, 3)
+    for _ in range(2):
+        got = resampling.resample(docs, target, **settings)
+        assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+        same([tuple(r) for r in got.collect()], want)
+
+
+def test_a_score_that_many_rows_share_is_numbered_in_pieces(spark):
+    """One score holds most rows and spans several pieces; its order is that of ids."""
+    rng = random.Random(1)
+    rows = [(i, 7 if i % 5 else rng.randrange(15), True) for i in rng.sample(range(3000), 2000)] + [(9999, 99, False)]
+    scored = spark.createDataFrame(rows, "doc_id long, score long, eligible boolean").repartition(6)
+    for draw in (0, 350, 2000):
+        got = {r["doc_id"]: r["rank"] for r in resampling.ranked(scored, draw).collect()}
+        order = sorted((r for r in rows if r[2]), key=lambda r: (-r[1], r[0]))[:draw]
+        assert len(got) == len(rows) and {i: k for i, k in got.items() if k} == {r[0]: k for k, r in enumerate(order, 1)}
+
+
+def test_resampling_equals_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    got = resampling.op11_resampling(spark, SMALL).toPandas()
+    want = con.sql(resampling.OP11_SQL).df()
+    same(got[sorted(got)].astype(object).itertuples(index=False), want[sorted(want)].astype(object).itertuples(index=False))
+
+
+def test_resampling_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b c " * 10)], "doc_id long, text string")
+    assert resampling.resample(none, some).count() == 0
+    assert resampling.resample(some, none, percent=100).collect()[0]["rank"] == 1
+    assert resampling.drawn(some.withColumn("n", some.doc_id), none, percent=100).collect()[0]["n"] == 1
+
+
+@settings(deadline=None, max_examples=50)
+@given(st.lists(st.binary(max_size=90), max_size=20))
+def test_crc_of_spans(spans):
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([0, *map(len, spans)])
+    assert resampling.crc32_spans(data, ends[:-1], ends[1:]).tolist() == [zlib.crc32(x) for x in spans]
+
+
+# --- 12 -----------------------------------------------------------------------------------------
+
+
+def plain_pieces(rows, size):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    out = []
+    for i, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        out += [(i, p // size, p, len(ids[p : p + size]), zlib.crc32(np.array(ids[p : p + size], "<u4").tobytes())) for p in range(0, len(ids), size)]
+    return out
+
+
+def check_places(got, size):
+    at = {}
+    for sequence, offset, length in sorted((r["sequence_id"], r["offset"], r["length"]) for r in got):
+        assert at.get(sequence, 0) == offset
+        at[sequence] = offset + length
+    assert max(at.values()) <= size
+    return len(at)
+
+
+@pytest.mark.parametrize("size", [2048, 100])
+def test_packing_of_odd_rows(odd, size):
+    rows, docs = odd
+    got = packing.pack(docs, size=size).collect()
+    same([tuple(r)[:5] for r in got], plain_pieces(rows, size))
+    assert check_places(got, size) >= -(-sum(r["length"] for r in got) // size)
+
+
+def test_packing_query(spark, texts):
+    got = packing.op12_packing(spark, SMALL).collect()
+    same([tuple(r)[:5] for r in got], plain_pieces(zip(texts.doc_id, texts.text, strict=True), 2048))
+    assert check_places(got, 2048) == -(-sum(r["length"] for r in got) // 2048)
+
+
+def test_sequences_hold_the_ids(spark):
+    docs = spark.createDataFrame([(i, "some words, " * (i % 40)) for i in range(120)], "doc_id long, text string")
+    packed = packing.pack(docs, size=256, with_ids=True)
+    pieces = {(r["doc_id"], r["piece"]): bytes(r["ids"]) for r in packed.collect()}
+    seqs = packing.sequences(packed).collect()
+    assert sorted(b"".join(bytes(r["ids"]) for r in seqs)) == sorted(b"".join(pieces.values()))
+    assert all(len(r["ids"]) == 2 * sum(r["lengths"]) <= 512 and len(r["doc_ids"]) == len(r["lengths"]) for r in seqs)
+
+
+def test_packing_of_an_empty_table(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id string, text string")).count() == 0
+
+
+def test_word_pieces_equal_whole_texts():
+    import pyarrow as pa
+
+    from quillspark.llm.shared import text_buffer
+
+    rng = random.Random(1)
+    chars = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0　  ab'stéèİΣσς̧́AIK1２9.!<|endoftext|>ñ漢'reLLlmdv"
+    some = ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    some += ["a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|endoftext|>", "end<|endoftext|", "it's o'clock, isn't it? No-one's", "don't!'s 5's '5 a'S WE'LL", "", " \n"]
+    tokens = packing.WordTokens(packing.default_tokenizer())
+    ids, bounds = tokens.encode(*text_buffer(pa.array(some)))
+    want = [e.ids for e in tokens.tokenizer.encode_batch(some, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
+def fewest(items, size):
+    """The least number of sequences, by trying every place for every item."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for j in {r: j for j, r in enumerate(rooms) if r >= items[i]}.values():
+            go(i + 1, [*rooms[:j], rooms[j] - items[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, size - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def plain_best_fit(items, size):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fits = [(r, j) for j, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits)[1]] -= x
+        else:
+            rooms.append(size - x)
+    return len(rooms)
+
+
+def counted(items, size):
+    out = [0] * (size + 1)
+    for x in items:
+        out[x] += 1
+    return out
+
+
+def uses(packing_):
+    return sum(u for _, u in packing_)
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.sampled_from([(10, 1, 10), (50, 10, 25), (100, 25, 66)]).flatmap(lambda s: st.tuples(st.just(s[0]), st.lists(st.integers(s[1], s[2]), max_size=11))))
+def test_search_finds_the_least_number(case):
+    size, items = case
+    counts = counted(items, size)
+    assert uses(packing.best_fit(counts, size)) == plain_best_fit(items, size)
+    found, least = packing.complete(counts, size)
+    assert all(sum(x * k for x, k in pattern) <= size for pattern, _ in found)
+    packing.Places(found, counts)  # raises unless each piece is held once
+    assert least <= uses(found) == fewest(items, size)
+
+
+def test_search_beats_its_incumbent_and_keeps_to_its_budget():
+    rng = np.random.default_rng(2)
+    counts = counted(rng.integers(600, 760, 20_000).tolist(), 2048)
+    found, least = packing.complete(counts)
+    packing.Places(found, counts)
+    assert least < uses(found) < uses(packing.best_fit(counts))
+    many = [n * 10**9 for n in counts]  # counts of any size take the same search
+    assert uses(packing.complete(many, nodes=50)[0]) <= uses(packing.best_fit(many))
+
+
+# --- 13 -----------------------------------------------------------------------------------------
+
+
+def plain_runs(w, exponent, least):
+    out = {}
+    for p in range(1, len(w)):
+        i = 0
+        while i + p < len(w):
+            j = i
+            while j + p < len(w) and w[j] == w[j + p]:
+                j += 1
+            if j > i and j + p - i >= max(least, exponent * p):
+                out.setdefault((i, j + p), p)
+            i = j + 1
+    return sorted((s, e, p) for (s, e), p in out.items())
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(0, 39), st.integers(1, 12), st.sampled_from([(2, 1), (2.5, 1), (3, 2), (4, 6)]))
+def test_runs_equal_all_periods_tried(w, a, p, limits):
+    w = [x if i < a else w[a + (i - a) % p] if a + (i - a) % p < len(w) else x for i, x in enumerate(w)]
+    assert runs.runs_of(np.array(w, np.int64), *limits) == sorted(plain_runs(w, *limits), key=lambda r: (r[0], r[2]))
+    twice = w + w
+    assert runs.runs_of(np.array(twice, np.int64), *limits) == sorted(plain_runs(twice, *limits), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_of_special_strings():
+    a, b = [0], [0, 1]
+    while len(b) < 300:
+        a, b = b, b + a
+    for w in (b, [0] * 300, [0, 1] * 150, ([0] * 5 + [1]) * 20 + [2] + ([0] * 5 + [1]) * 20):
+        for e in (2, 3, 4):
+            assert runs.runs_of(np.array(w), e, 2) == plain_runs(w, e, 2)
+
+
+def test_runs_of_long_repetitive_texts_take_no_quadratic_time():
+    assert runs.runs_of(np.zeros(300_000, np.int64)) == [(0, 300_000, 1)]
+    assert runs.runs_of(np.arange(300_000) % 1000) == [(0, 300_000, 1000)]
+
+
+def plain_collapse(rows, plant):
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        h, n = zlib.crc32(str(i).encode()), len(w)
+        if plant and i is not None and h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        found = sorted(plain_runs(w, 4, 6), key=lambda r: (r[0], r[2]))
+        best = min(found, key=lambda r: (-(r[1] - r[0]) / r[2], r[0], r[2]), default=None)
+        facts = (best[0], best[1] - best[0], best[2], 1000 * (best[1] - best[0]) // best[2]) if best else (None,) * 4
+        gone = {k for s, e, p in found for k in range(s + p, e)}
+        lines = "".join(f"{s},{e - s},{p}\n" for s, e, p in found)
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(found), *facts, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_collapse_of_odd_rows(odd):
+    rows, docs = odd
+    rows = [r for r in rows if len(r[1] or "") < 9000]  # the plain version is quadratic
+    docs = docs.where("text is null or length(text) < 9000")
+    same([tuple(r) for r in runs.collapse(docs).collect()], plain_collapse(rows, False))
+    same([tuple(r) for r in runs.collapse(runs.planted(docs)).collect()], plain_collapse(rows, True))
+
+
+def test_runs_query(spark, texts):
+    want = plain_collapse([(i, t) for i, t in zip(texts.doc_id, texts.text, strict=True) if len(t or "") < 6000], True)
+    got = {r["doc_id"]: tuple(r) for r in runs.op13_runs(spark, SMALL).collect()}
+    assert len(got) == len(texts) and sum(r[1] > 0 for r in want) > 5
+    same([got[r[0]] for r in want], want)
+
+
+def test_collapse_gives_runs_and_texts(spark):
+    docs = spark.createDataFrame([("a", "x y " + "p q r " * 5 + "z"), ("b", None)], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in runs.collapse(docs, with_runs=True).collect()}
+    assert got["a"]["text"] == "x y p q r z" and [tuple(r) for r in got["a"]["runs"]] == [(2, 15, 3)] and got["b"]["runs"] == []
+    assert runs.collapse(docs.limit(0)).count() == 0
