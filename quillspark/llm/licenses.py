@@ -7,7 +7,8 @@ the same or a stronger priority contains it (equal intervals: the stronger prior
 rule stays).  Containment is decided by one sorted pass over a document's detections.
 
 Defined cases: null and empty texts have no words and labels ''; ties in suppression go by rule order;
-repeated rows give equal results each; texts are matched whole; extra columns are not read.
+rows that repeat an id, null ids among them, are told apart by their texts, and equal rows give equal results
+each; ids may be of any type; texts are matched whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -92,7 +93,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows, _ = written(base_scan(docs, id_col, text_col), "licences")
     kept = unsuppressed(detections(rows.where("t is not null").select("doc_id", "th", "t")))
     more = kept.groupBy("doc_id", "th").agg(F.collect_set("label").alias("more"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n_found"))
-    out = rows.drop("t").join(more, ["doc_id", "th"], "left")
+    more = more.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    out = rows.drop("t").join(more, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     text = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
     none = F.array().cast("array<string>")
     weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.when(F.col("n_base") > 0, BASE_WEIGHT).otherwise(0.0))
