@@ -5,7 +5,8 @@ stand in it.  Documents are long and items short, so their Jaccard similarity sa
 sketched are the items.  Items are partitioned by size (powers of two); an item of a partition with
 upper size u keeps its k(u) smallest hash values.  A document that contains the item holds one of them,
 unless all k fall in the missing part: impossible for k > (1 - t) u, and of probability (1 - t)^k
-otherwise, so k(u) = min(MOST, floor((1 - t) u) + 1).  Every shingle of every document probes the sketch
+otherwise, so k(u) = floor((1 - t) u) + 1; a caller who wants a smaller sketch of large items may bound k by
+`most` and accept that chance.  Every shingle of every document probes the sketch
 of its partition; candidates are then verified on all shingles of both sides, compared as words.
 
 The sketch is broadcast only while it has at most BROADCAST_ROWS rows; beyond, the probe is a shuffled
@@ -13,8 +14,8 @@ join.  Nothing pairs all documents with all items.
 
 Defined cases: items with fewer words than a shingle have all their words as one shingle, looked up
 among the documents' runs of that many words; items and documents without words match nothing; rows
-that share a doc_id (or item_id) count as one document (or item); documents are read whole; extra
-columns are not read.
+that share a doc_id (or item_id), null too, count as one document (or item); documents are read whole; extra
+columns are not read.  `drop_leaks` numbers rows first, so that each row stays or goes by its own text.
 """
 
 from __future__ import annotations
@@ -23,11 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.licenses import LOWER, UPPER
-from quillspark.llm.shared import written
+from quillspark.llm.shared import identified, written
 
 WIDTH = 5
 PERCENT = 75
-MOST = 10
 BROADCAST_ROWS = 200_000
 
 
@@ -57,19 +57,20 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id", "width")))
 
 
-def sketch(shingles: DataFrame, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+def sketch(shingles: DataFrame, percent: int = PERCENT, most: int | None = None) -> DataFrame:
     """(item_id, width, h, part): the smallest hash values of each item, as many as its partition asks."""
     part = F.ceil(F.log2(F.col("n"))).cast("int")
     upper = F.pow(F.lit(2.0), part)
-    k = F.least(F.lit(most), F.floor(upper * (1 - percent / 100)) + 1)
+    k = F.floor(upper * (100 - percent) / 100) + 1
+    k = k if most is None else F.least(F.lit(most), k)
     order = Window.partitionBy("item_id", "width").orderBy(F.xxhash64(F.lit(31), "h"), "h")
     return shingles.select("item_id", "width", "h", part.alias("part"), k.alias("k"), F.row_number().over(order).alias("r")).where("r <= k").select("item_id", "width", "h", "part")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", percent: int = PERCENT) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", percent: int = PERCENT, most: int | None = None) -> DataFrame:
     """(doc_id, item_id, n_item, n_hit, containment) of the items that documents contain."""
     shingles, _ = written(item_shingles(items, item_id, item_text), "item-shingles")
-    marks, _ = written(sketch(shingles, percent), "item-sketch")
+    marks, _ = written(sketch(shingles, percent, most), "item-sketch")
     facts = marks.groupBy("width").count().collect()
     small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     total = shingles.count()
@@ -79,11 +80,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="tex
         mine = marks.where(F.col("width") == width).select("h", "item_id", "part")
         hits = _runs(rows, "doc_id", width).select("doc_id", "h").join(small(mine, n), "h")
         pairs, _ = written(hits.groupBy("doc_id", "item_id").agg(F.min("part").alias("part")), "candidates")
-        some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        hit = pairs.select(F.col("doc_id").alias("_d")).distinct()
+        some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
         runs = _runs(some.select("doc_id", _words("t").alias("words")), "doc_id", width)
         full = shingles.where(F.col("width") == width).select("h", "item_id", "w", F.col("n").alias("n_item"))
         same = runs.select("doc_id", "h", F.array_join(F.array(*[F.col(f"w.w{i}") for i in range(width)]), " ").alias("w")).join(small(full, total), ["h", "w"])
-        counted = same.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("h").alias("n_hit"))
+        asked = pairs.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"))
+        counted = same.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi").groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("h").alias("n_hit"))
         out = counted if out is None else out.unionByName(counted)
     if out is None:  # no item has a word
         out = docs.select(F.col(id_col).alias("doc_id")).limit(0).crossJoin(items.select(F.col(item_id).alias("item_id")).limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_hit"))
@@ -107,7 +110,8 @@ SELECT doc_id, item_id, n_item, n_hit, n_hit / n_item AS containment FROM hit JO
 """
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that contain a benchmark item."""
-    leaks = find_leaks(docs, items, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_id"], "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows whose text contains a benchmark item."""
+    rows = identified(docs, id_col, text_col, others=True)
+    leaks = find_leaks(rows.select("rid", "text"), items, "rid", "text", **options).select(F.col("doc_id").alias("rid")).distinct()
+    return rows.join(leaks, "rid", "left_anti").select("doc.*")
