@@ -16,7 +16,8 @@ spectra (2 KB a row) are computed on the executors; the fit on the driver is bou
 
 Defined cases: a null text, or one without any letter, gives `und` with score 0; very long texts count
 whole; rows with null lang are never learned from; without any labelled row everything is `und`;
-repeated rows and extra columns have no effect on other rows.
+a row's language and text are learned together whatever its id, equal rows once; ids may be null, repeated and of any
+type that sorts; extra columns have no effect.
 """
 
 from __future__ import annotations
@@ -121,15 +122,16 @@ def fit(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float =
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> tuple[np.ndarray, list[str]]:
     """Spectra and languages of at most per_lang rows of each language."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang is not null")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "th")
+    t = F.col(text_col).cast("string")
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), t.alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(t).alias("th")).where("lang is not null and text is not null")
     # a hash range of each language is wide enough for its sample and keeps large ones out of one task
     counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
     if counts:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_lang + 100) / n))])
         ids = ids.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id", "lang")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    ids = ids.groupBy("lang", "h", "doc_id", "th").agg(F.first("text").alias("text"))  # equal rows are one
+    picked = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "text")
 
     def pack(batches):
         for b in sub_batches(batches, limit=1 << 20):
@@ -137,8 +139,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
             rows = [np.packbits(spectra(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))).tobytes() for i in range(len(offs) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lang")), pa.array(rows, pa.binary())], names=["lang", "bits"])
 
-    # at most per_lang rows a language are broadcast
-    rows = texts.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInArrow(pack, "lang string, bits binary").collect()
+    # at most per_lang rows a language
+    rows = picked.mapInArrow(pack, "lang string, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.uint8).reshape(len(rows), BUCKETS)
     return x, [r["lang"] for r in rows]
