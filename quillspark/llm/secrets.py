@@ -13,7 +13,7 @@ identifiers and paths are, are taken at a fixed distance and go through the same
 class by itself, as short strings tell language and chance apart less well.  A
 candidate has as its p-value the share of windows of its class that look at least as random.  The step of
 Benjamini and Hochberg over all candidates of the corpus then bounds the share of false discoveries
-among the reported strings by `q`; those are reported as kind random.  This text is part of the windows, so
+among the reported strings by `q`; those are reported as kind random.  A fixed text is part of the windows, so
 that a corpus of few words has a law too.
 
 The step needs only counts for each length class and score bin: a fixed number of cells whatever the input.
@@ -49,6 +49,31 @@ CLASS_EDGES = (32, 64, 128)
 WINDOWS = (LEAST, *CLASS_EDGES)  # lengths of a class's ordinary windows: its shortest strings
 WINDOW_GAP, OWN_GAP = 512, 3
 SHORT_NUMBER = 6
+# Some ordinary writing, part of the law beside the corpus itself.
+PROSE = """Secret scans: fixed patterns plus a randomness test battery with false-discovery control.
+
+Patterns (assign, access, hex) are matched leftmost and non-overlapping in the whole text.  Beside
+them, every run of letters, digits and the signs of encodings of at least `least` characters that mixes
+letters and digits is a candidate.  Its encoding is inferred (hex, base32, base62, base64) and three tests
+ask how well its characters fit uniform and independent draws: chi-squared uniformity over the alphabet, the
+runs test about the middle of the alphabet, and lag-one serial correlation.  The method of Fisher joins
+the three into one score, which is high for random strings and near zero for language.
+
+The hypothesis to reject is that a candidate is ordinary writing.  Its law is measured: from every document,
+windows of its ordinary words, put together without spaces and again, with its short numbers, by signs as
+identifiers and paths are, are taken at a fixed distance and go through the same battery, for each length
+class by itself, as short strings tell language and chance apart less well.  A
+candidate has as its p-value the share of windows of its class that look at least as random.  The step of
+Benjamini and Hochberg over all candidates of the corpus then bounds the share of false discoveries
+among the reported strings by `q`; those are reported as kind random.  This text is part of the windows, so
+that a corpus of few words has a law too.
+
+The step needs only counts for each length class and score bin: a fixed number of cells whatever the input.
+
+Defined cases: null and empty texts have no spans; ties in start go by kind (assign, access, hex,
+random); repeated rows are scanned as rows of their own; an empty table gives no rows; extra columns are not
+read; a candidate that overlaps the span of a pattern is not reported again.
+"""
 # Alphabets in the order of their codes.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -134,7 +159,9 @@ def _joined(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.nda
     raw = data.copy() if sign else data
     if sign:
         gaps = stop[stop > ends] - 1
-        raw[gaps] = np.where(np.arange(len(gaps)) % 2, ord("-"), ord("_"))
+        first = np.searchsorted(gaps, offs)  # signs take turns inside a row
+        turn = np.arange(len(gaps)) - first[np.searchsorted(offs, gaps, side="right") - 1]
+        raw[gaps] = np.where(turn % 2, ord("-"), ord("_"))
     return raw[held], np.concatenate([[0], np.cumsum(held)])[offs]
 
 
@@ -242,7 +269,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     rows, _ = written(rows, "secrets")
     cells = {(r["cls"], r["bin"]): r["count"] for r in rows.select(F.explode("found").alias("x")).groupBy("x.cls", "x.bin").count().collect()}
     law = {(r["cls"], r["bin"]): r["n"] for r in rows.select(F.explode("ordinary").alias("x")).groupBy("x.cls", "x.bin").agg(F.sum("x.n").alias("n")).collect()}
-    for cell, n in ordinary_cells(*text_buffer(pa.array([__doc__])), gap=OWN_GAP).items():
+    for cell, n in ordinary_cells(*text_buffer(pa.array([PROSE])), gap=OWN_GAP).items():
         law[cell] = law.get(cell, 0) + n
     limits = reported_bins(cells, law, q)
     keep = f"transform(filter(found, x -> x.bin <= element_at(array({', '.join(map(str, limits))}), x.cls + 1)), x -> named_struct('start', x.start, 'kind', 3, 'end', x.end))"
