@@ -58,8 +58,9 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def identified(docs: DataFrame, id_col: str, text_col: str, others: bool = False) -> DataFrame:
     """(rid, doc_id, text) with a long rid in the order of ids, nulls last; with `others`, (rid, doc: all columns).
 
-    rid is the id itself where that is a key of integers; else rows are sorted by id and text, numbered
-    and written, so that a row keeps its number whenever it is read.
+    rid is the id itself where that is a key of integers; else a row's place in the order of ids, then of hashes of
+    the texts and of whole rows, from 0 on.  It belongs to the row, not to the run: only rows that are equal in
+    every column may change places.  Rows are written, and the driver sees one count a range.
     """
     content = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if others else []
     text = F.col(text_col).cast("string")
@@ -68,10 +69,19 @@ def identified(docs: DataFrame, id_col: str, text_col: str, others: bool = False
         ids = picked.select("doc_id")
         if ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
             return picked.withColumn("rid", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = picked.repartitionByRange(spread, *order).sortWithinPartitions(*order, "text")
-    return written(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")[0]
+    spark = docs.sparkSession
+    whole = [F.xxhash64(F.to_json("doc"))] if others else []
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), *whole, F.col("_at")]
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = picked.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(spread, *order).sortWithinPartitions(*order).drop("_at")
+    rows, _ = written(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).cast("int").alias("_part")
+    base, at = [], 0
+    for r in sorted(rows.groupBy(part).count().collect()):
+        base.append((r["_part"], at))
+        at += r["count"]
+    base = F.broadcast(spark.createDataFrame(base, "_part int, _base long"))  # a row for each range
+    return rows.withColumn("_part", part).join(base, "_part").withColumn("rid", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_at")
 
 
 def release(spark: SparkSession) -> None:
