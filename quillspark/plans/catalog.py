@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspark import providers
 from quillspark.functions import html, json_text, text, urls
-from quillspark.operators import alerts, chunks, crawl, graph, research, scan, tfidf, vectors
+from quillspark.operators import alerts, chunks, crawl, graph, research, scan, tfidf, vector_index, vectors
 from quillspark.plans import inputs
 from quillspark.plans.inputs import table
 from quillspark.sources import readers, writers
-from quillspark.storage import cut
+from quillspark.storage import cut, scratch
 
 Q: dict = {}
 
@@ -109,6 +109,26 @@ def vector_topk(spark, sf):
     return near.select("query_id", "vec_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+def _indexed(spark, sf, nprobe):
+    e = table(spark, sf, "embeddings")
+    path = scratch(spark, "vectors")
+    vector_index.build(e, path)
+    near = vector_index.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), path, 5, nprobe)
+    return near.select("query_id", "vec_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def vector_index_all(spark, sf):
+    """SNK3: every list of an index searched, which is the exact result."""
+    return _indexed(spark, sf, None)
+
+
+@query
+def vector_index_topk(spark, sf):
+    """SNK3: the lists of the 16 nearest centroids searched; recall against the exact search is tested."""
+    return _indexed(spark, sf, 16)
+
+
 @query
 def vector_topk_filtered(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -14,11 +14,19 @@ def shared_folder(spark: SparkSession) -> str:
     return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark").rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back; the files go when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path = scratch(spark, "cut") + "/t"
     df.write.parquet(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
