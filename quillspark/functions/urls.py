@@ -50,13 +50,6 @@ def domain(url: Column) -> Column:
     return F.when(authority(url) != "", authority(url)).otherwise(url)
 
 
-def registered_domain(url: Column) -> Column:
-    """The host's last two labels (an approximation of the public-suffix rule)."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(authority(url)), "^.*@", ""), ":[0-9]*$", "")
-    labels = F.split(host, r"\.")
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
-
-
 def normalize_url(url: Column) -> Column:
     """Without fragment, and without one last '/' unless the path is just that."""
     bare = F.regexp_replace(url, "#.*$", "")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, urls
+from quillspark.operators import suffixes
 
 
 def ordinals(rows: DataFrame, order: str, out: str = "n") -> DataFrame:
@@ -61,7 +62,9 @@ def run_stats(pages: DataFrame, variant: str = "a1", max_sources: int = 20) -> D
 
 def top_domains(rows: DataFrame, order: str, url_col: str = "url", k: int = 5, registered: bool = False) -> DataFrame:
     """AG7: (domain, n, first) of the k most frequent domains, ties by first appearance."""
-    d = urls.registered_domain(F.col(url_col)) if registered else urls.domain(F.col(url_col))
+    if registered:
+        rows = suffixes.with_registered_domain(rows, url_col, "_registered")
+    d = F.col("_registered") if registered else urls.domain(F.col(url_col))
     counted = rows.groupBy(d.alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     return counted.orderBy(F.desc("n"), "first").limit(k)
 

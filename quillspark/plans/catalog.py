@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import providers
 from quillspark.functions import html, json_text, text, urls
-from quillspark.operators import alerts, chunks, crawl, graph, research, scan, tfidf, vector_index, vectors
+from quillspark.operators import alerts, chunks, content, crawl, graph, research, scan, suffixes, tfidf, vector_index, vectors
 from quillspark.plans import inputs
 from quillspark.plans.inputs import table
 from quillspark.sources import readers, writers
@@ -244,7 +244,7 @@ def page_outlinks(spark, sf):
 @query
 def url_normalize(spark, sf):
     u = F.col("url")
-    return _pages(spark, sf).select("page_id", urls.normalize_url(u).alias("normal"), urls.authority(u).alias("authority"), urls.registered_domain(u).alias("registered"), urls.is_binary(u).alias("is_binary"), urls.media_type(u).alias("media_type"))
+    return suffixes.with_registered_domain(_pages(spark, sf)).select("page_id", urls.normalize_url(u).alias("normal"), urls.authority(u).alias("authority"), "registered", urls.is_binary(u).alias("is_binary"), urls.media_type(u).alias("media_type"))
 
 
 @query
@@ -257,6 +257,18 @@ def domain_top5_registered(spark, sf):
     return research.top_domains(_pages(spark, sf), "page_id", registered=True).select("domain", "n", "first")
 
 
+@query
+def registered_domains(spark, sf):
+    """Shops of customers under suffixes of one and several labels, wildcards and exceptions."""
+    return suffixes.with_registered_domain(inputs.shops(spark, sf)).select("c_custkey", "registered")
+
+
+@query
+def page_main_text(spark, sf):
+    """The main content of every page."""
+    return content.with_main_content(_pages(spark, sf)).select("page_id", "text")
+
+
 @query
 def same_domain_links(spark, sf):
     return crawl.links(_pages(spark, sf)).where(urls.same_domain(F.col("url"), F.col("link"))).groupBy("url").agg(F.count(F.lit(1)).alias("links"))

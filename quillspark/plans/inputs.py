@@ -28,6 +28,13 @@ SELECT concat(CASE p_partkey % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'test/' WHEN 2 T
   CASE p_partkey % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.md' WHEN 3 THEN '.go' WHEN 4 THEN '.PY' WHEN 5 THEN '.min.ts' ELSE '' END) AS path
 FROM part"""
 
+SHOPS = """
+SELECT c_custkey, concat(CASE c_custkey % 3 WHEN 0 THEN 'https://Shop' WHEN 1 THEN 'http://me:x@www.shop' ELSE '//shop' END, c_custkey % 50,
+  CASE c_custkey % 13 WHEN 0 THEN '.co.uk' WHEN 1 THEN '.com' WHEN 2 THEN '.a.sch.uk:8080' WHEN 3 THEN '.city.kawasaki.jp' WHEN 4 THEN '.a.kawasaki.jp'
+    WHEN 5 THEN '.unknown' WHEN 6 THEN '.b.www.ck' WHEN 7 THEN '.com.ck.' WHEN 8 THEN '.org.au' WHEN 9 THEN '.ck' WHEN 10 THEN '.example.net' WHEN 11 THEN '' ELSE '.GOV.UK' END,
+  '/item/', c_custkey) AS url
+FROM customer"""
+
 DOC_FILES = "SELECT concat('src/doc_', doc_id, '.py') AS path, text AS content FROM documents"
 
 
@@ -52,6 +59,11 @@ def part_files(spark, sf_dir) -> DataFrame:
     return _with(spark, sf_dir, FILES, ("part",))
 
 
+def shops(spark, sf_dir) -> DataFrame:
+    """URLs of customers under many kinds of suffixes."""
+    return _with(spark, sf_dir, SHOPS, ("customer",))
+
+
 def document_files(spark, sf_dir) -> DataFrame:
     return _with(spark, sf_dir, DOC_FILES, ("documents",))
 

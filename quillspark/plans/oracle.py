@@ -7,6 +7,7 @@ from quillspark.functions import urls as U
 from quillspark.functions.text import SPACE, WORD, boilerplate
 from quillspark.operators import alerts as A
 from quillspark.operators import scan as S
+from quillspark.operators.suffixes import COMMON
 from quillspark.plans import inputs
 
 
@@ -84,9 +85,18 @@ def normal_url(url: str) -> str:
     return f"CASE WHEN ends_with({bare}, '/') AND {part(bare, 3)} <> '/' THEN left({bare}, length({bare}) - 1) ELSE {bare} END"
 
 
-def registered(url: str) -> str:
-    host = rep(rep(f"lower({authority(url)})", "^.*@"), ":[0-9]*$")
-    return f"array_to_string(string_split({host}, '.')[greatest(len(string_split({host}, '.')) - 1, 1):], '.')"
+def host(url: str) -> str:
+    return rep(rep(rep(f"lower({authority(url)})", "^.*@"), ":[0-9]*$"), r"\.$")
+
+
+def registered(source: str) -> str:
+    """(..., registered) of a source with url, as rd."""
+    kind = lambda a, b, c: f"CASE WHEN starts_with(rule, '!') THEN {a} WHEN starts_with(rule, '*.') THEN {b} ELSE {c} END"
+    return f"""ru AS (SELECT unnest([{', '.join(map(q, COMMON))}]) AS rule), rk AS (SELECT {kind('substr(rule, 2)', 'substr(rule, 3)', 'rule')} AS ending, {kind(-1, 1, 0)} AS more, starts_with(rule, '!') AS wins FROM ru),
+sr AS (SELECT *, {host('url')} AS host FROM {source}), hl AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM sr WHERE host <> '' AND NOT regexp_full_match(host, '[0-9.]+')),
+he AS (SELECT host, len(l) AS labels, k, array_to_string(l[len(l) - k + 1:], '.') AS ending FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM hl)),
+hm AS (SELECT host, any_value(labels) AS labels, max({{'w': wins, 'n': k + more}}).n AS n FROM he JOIN rk USING (ending) WHERE k + more <= labels GROUP BY host),
+rd AS (SELECT sr.*, CASE WHEN n < labels THEN array_to_string(string_split(sr.host, '.')[labels - n:], '.') ELSE {authority('url')} END AS registered FROM sr LEFT JOIN hm USING (host))"""
 
 
 HREF = q(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']".replace('\\"', '"'))
@@ -214,9 +224,10 @@ def oracle_sql() -> dict[str, str]:
         "page_text_a2": f"SELECT page_id, {page_text('a2')} AS text FROM pages",
         "page_links": f"WITH {LINKS} SELECT url, pos, link FROM k",
         "page_outlinks": f"WITH {HREFS} SELECT url, pos, CASE WHEN starts_with(trim(href), '/') THEN {origin('url')} || trim(href) ELSE trim(href) END AS link FROM l WHERE starts_with(trim(href), '/') OR starts_with(trim(href), 'http://') OR starts_with(trim(href), 'https://')",
-        "url_normalize": f"SELECT page_id, {normal_url('url')} AS normal, {authority('url')} AS authority, {registered('url')} AS registered, regexp_matches(lower({part('url', 3)}), {q(chr(92) + '.(' + '|'.join(U.BINARY_EXTENSIONS) + ')$')}) AS is_binary, {MEDIA} AS media_type FROM pages",
+        "url_normalize": f"WITH {registered('pages')} SELECT page_id, {normal_url('url')} AS normal, {authority('url')} AS authority, registered, regexp_matches(lower({part('url', 3)}), {q(chr(92) + '.(' + '|'.join(U.BINARY_EXTENSIONS) + ')$')}) AS is_binary, {MEDIA} AS media_type FROM rd",
         "domain_top5": f"SELECT {authority('url')} AS domain, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1 ORDER BY n DESC, first LIMIT 5",
-        "domain_top5_registered": f"SELECT {registered('url')} AS domain, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1 ORDER BY n DESC, first LIMIT 5",
+        "registered_domains": f"WITH sh AS ({inputs.SHOPS}), {registered('sh')} SELECT c_custkey, registered FROM rd",
+        "domain_top5_registered": f"WITH {registered('pages')} SELECT registered AS domain, count(*) AS n, min(page_id) AS first FROM rd GROUP BY 1 ORDER BY n DESC, first LIMIT 5",
         "same_domain_links": f"WITH {LINKS} SELECT url, count(*) AS links FROM k WHERE {authority('url')} = {authority('link')} GROUP BY url",
         "robots_allowed": f"SELECT page_id FROM pages WHERE NOT ({authority('url')} IN ('ththre.example.com', 'm.therou.example.com', 'thther.example.org') AND starts_with({part('url', 3)}, '/en'))",
         "alert_classify": f"WITH {classified()} SELECT event_id, service, severity FROM c",
