@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import providers
 from quillspark.functions import html, json_text, text, urls
-from quillspark.operators import alerts, chunks, content, crawl, graph, research, scan, suffixes, tfidf, vector_index, vectors
+from quillspark.operators import alerts, chunks, content, crawl, graph, merged, research, scan, suffixes, tfidf, vector_index, vectors
 from quillspark.plans import inputs
 from quillspark.plans.inputs import table
 from quillspark.sources import readers, writers
@@ -190,6 +190,21 @@ def upsert_chunks(spark, sf):
     return graph.upsert(old, new, ["id"])
 
 
+@query
+def merged_batches(spark, sf):
+    """ST3, SNK1: a table of four batches, new, changed and deleted rows, compacted on the way and once replayed."""
+    d = _docs(spark, sf).select(F.col("doc_id").alias("id"), "lang", "source")
+    path = scratch(spark, "merged")
+    state = lambda df, s: df.withColumn("state", F.lit(s))
+    batches = [state(d.where("id % 2 = 0"), "one"), state(d.where("id % 3 = 0"), "two"), state(d.where("id % 5 = 0"), "three"), state(d.where("id % 7 = 0"), "four")]
+    merged.create(spark, path, batches[0].schema, ["id"])
+    for n in (0, 1, 1, 2, 0, 3):
+        merged.write_batch(batches[n], path, n, deleted=F.col("id") % 10 == 0 if n == 2 else None)
+        if n == 2:
+            merged.compact(spark, path)
+    return merged.read(spark, path)
+
+
 @query
 def upsert_edges(spark, sf):
     e = _edges(spark, sf).select("src", "dst", "weight")

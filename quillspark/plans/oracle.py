@@ -216,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "neighbors": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM bw WHERE src % 10 = 0",
         "shortest_distance": f"WITH {edges('a3')}, {BOTH}, st AS (SELECT src, dst, CASE WHEN weight > 0 THEN 1 / weight ELSE 10 END AS cost FROM bw), h0 AS (SELECT vec_id AS start, vec_id AS node, 1.0::DOUBLE AS d FROM embeddings WHERE vec_id % 20 = 0), h1 AS (SELECT start, dst AS node, d + cost AS d FROM h0 JOIN st ON node = src), h2 AS (SELECT start, dst AS node, d + cost AS d FROM h1 JOIN st ON node = src) SELECT start, node, round(min(d), 6) AS distance FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY start, node",
         "upsert_chunks": "SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
+        "merged_batches": "SELECT doc_id AS id, lang, source, CASE WHEN doc_id % 7 = 0 THEN 'four' WHEN doc_id % 5 = 0 THEN 'three' WHEN doc_id % 3 = 0 THEN 'two' ELSE 'one' END AS state FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 10 > 0 AND (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0))",
         "upsert_edges": f"WITH {edges('a3')}, nw AS (SELECT src, dst, weight FROM e WHERE src % 2 = 0 AND src % 4 > 0 AND dst % 4 > 0), nb AS (SELECT src, dst, weight FROM nw UNION ALL SELECT dst, src, weight FROM nw), od AS (SELECT src, dst FROM e WHERE src % 3 = 0 UNION ALL SELECT dst, src FROM e WHERE src % 3 = 0) SELECT src, dst, round(weight, 6) AS weight FROM nb UNION ALL SELECT src, dst, 2.0 FROM od ANTI JOIN nb USING (src, dst)",
         "delete_document": f"WITH {edges('a3')}, {BOTH} SELECT src, dst, round(weight, 6) AS weight FROM bw JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE a.label >= 3 AND b.label >= 3 UNION ALL SELECT vec_id, NULL, NULL FROM embeddings WHERE label >= 3",
         "collection_names": "SELECT page_id, 'graphrag_' || left(sha256(url), 16) AS name FROM pages",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quillspark.operators import alerts
-from quillspark.operators.graph import upsert
+from quillspark.operators import alerts, merged
 
 
 def running_findings(findings: DataFrame) -> DataFrame:
@@ -23,36 +23,65 @@ def event_counts(events: DataFrame, window: str = "5 minutes", late: str = "10 m
     return kept.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def paced(requests: DataFrame, gap: float = 1.0) -> DataFrame:
+class Pacer(StatefulProcessor):
+    """A domain's last time as value state that lives for `idle` after its last request; a timer clears it then."""
+
+    def __init__(self, gap: float, idle: float):
+        self.gap, self.idle = gap, int(1000 * idle)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at double", self.idle)
+        self.until = handle.getValueState("until", "ms bigint", self.idle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else float("-inf")
+        asked = pd.concat(list(rows)).sort_values(["ts", "url"])
+        at = []
+        for ts in asked["ts"]:
+            last = max(ts, last + self.gap)
+            at.append(last)
+        self.last.update((last,))
+        if self.until.exists():
+            self.handle.deleteTimer(self.until.get()[0])
+        until = timerValues.getCurrentProcessingTimeInMs() + self.idle
+        self.handle.registerTimer(until)
+        self.until.update((until,))
+        yield pd.DataFrame({"domain": key[0], "url": asked["url"].to_numpy(), "at": at})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        self.until.clear()
+        return iter(())
+
+
+def paced(requests: DataFrame, gap: float = 1.0, idle: float = 3600.0) -> DataFrame:
     """ST2, W7: (domain, url, at): when each request may go, at least `gap` seconds after its domain's last.
 
-    requests: (domain, url, ts seconds).  State is the domain's last time.
+    requests: (domain, url, ts seconds).  A domain without requests for `idle` seconds of processing time is
+    forgotten.  Needs the RocksDB state store (`state_store`).
     """
+    return requests.select("domain", "url", "ts").groupBy("domain").transformWithStateInPandas(Pacer(gap, idle), "domain string, url string, at double", "append", "ProcessingTime")
 
-    def run(key, batches, state):
-        last = state.get[0] if state.exists else float("-inf")
-        out = []
-        for pdf in batches:
-            for url, ts in sorted(zip(pdf["url"], pdf["ts"], strict=True), key=lambda x: (x[1], x[0])):
-                last = max(ts, last + gap)
-                out.append((key[0], url, last))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["domain", "url", "at"])
 
-    return requests.groupBy("domain").applyInPandasWithState(run, "domain string, url string, at double", "last double", "append", "NoTimeout")
+def state_store(spark: SparkSession) -> None:
+    """Streams started from now on keep state in RocksDB, which spills to disk and holds timers."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, keys: list[str], checkpoint: str):
-    """ST3: each batch is transformed and merged into the table at `path` by its keys.
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, keys: list[str], checkpoint: str, order: str | None = None, deleted: Column | None = None, compact_after: int = 16):
+    """ST3: each batch is transformed and committed to the merged table at `path` (see operators.merged).
 
-    Version folders hold the table; a batch writes the next one, so that a repeated batch gives the same.
+    A batch writes its own rows; one that is run again gives the same table.  The table is compacted when more
+    than `compact_after` batches wait.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark, new = batch.sparkSession, transform(batch)
-        old = spark.read.schema(new.schema).parquet(f"{path}/v={number}") if number else None
-        out = new.dropDuplicates(keys) if old is None else upsert(old, new, keys)
-        out.write.mode("overwrite").parquet(f"{path}/v={number + 1}")
+        merged.create(spark, path, new.drop(*([order] if order else [])).schema, keys)
+        merged.write_batch(new, path, number, order, deleted)
+        if merged.pending(spark, path) > compact_after:
+            merged.compact(spark, path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
