@@ -1,6 +1,7 @@
 """TF-IDF vectors, cosine pairs and first-wins duplicates (AG1-AG5, J2, G8, J5).
 
-A vector is one row: its cells (df, term, w) from rare to frequent terms, scaled to norm 1.
+Terms have codes in the order of their document frequency.  A vector is one row: the codes of its terms, rare ones
+first, and their weights, scaled to norm 1, both as binary arrays; and a digest by which equal vectors meet.
 
 Pairs come from an inverted index over each vector's prefix only: the shortest one whose rest has a norm of
 at most (1 - MARGIN) of the threshold.  Of two unit vectors, what the one with the shorter prefix shares
@@ -11,6 +12,8 @@ multiply the pairs; a term with a very long list is dealt over tasks by the adap
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,17 +39,51 @@ def document_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + F.lit(float(n_docs)) / (1 + F.col("df"))))
 
 
+def coded(terms: DataFrame) -> DataFrame:
+    """terms (term, df, ...) with a number each, in the order of df and term."""
+    spread = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(terms.repartitionByRange(spread, "df", "term").sortWithinPartitions("df", "term").withColumn("code", F.monotonically_increasing_id()))
+
+
 def _packed(w: DataFrame) -> DataFrame:
-    """(doc_id, term, df, w) -> (doc_id, cells): one row a vector, scaled to norm 1; none for norm 0."""
-    each = w.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * c["w"]))
-    each = each.withColumn("norm", norm).where("norm > 0")
-    return each.select("doc_id", F.transform("cells", lambda c: F.struct(c["df"].alias("df"), c["term"].alias("term"), (c["w"] / F.col("norm")).alias("w"))).alias("cells"))
+    """(doc_id, code, w) -> (doc_id, codes, w, digest): one row a vector, scaled to norm 1; none for norm 0."""
+    kind = w.schema["doc_id"].dataType.simpleString()
+
+    def emit(ids, codes, weights, first):
+        bounds = np.append(first, len(codes))
+        norm = np.sqrt(np.add.reduceat(weights * weights, first))
+        unit = weights / np.repeat(np.where(norm > 0, norm, 1), np.diff(bounds))
+        places = np.round(unit, 12)
+        spans = [(x, y) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        keys = [hashlib.sha256(codes[x:y].tobytes() + places[x:y].tobytes()).digest() for x, y in spans]
+        rows = [ids, pa.array([codes[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([unit[x:y].tobytes() for x, y in spans], pa.binary()), pa.array(keys, pa.binary())]
+        return pa.RecordBatch.from_arrays(rows, names=["doc_id", "codes", "w", "digest"]).filter(pa.array(norm > 0))
+
+    def run(batches):
+        held = None  # the last document, which may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, codes, weights = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
+            if held is not None:
+                ids = pa.concat_arrays([held[0], ids])
+                codes, weights = np.concatenate([held[1], codes]), np.concatenate([held[2], weights])
+            number = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            at = int(first[-1])
+            if at:
+                yield emit(ids.take(pa.array(first[:-1])), codes[:at], weights[:at], first[:-1])
+            held = (ids.slice(at), codes[at:], weights[at:])
+        if held is not None:
+            yield emit(held[0].slice(0, 1), held[1], held[2], np.array([0]))
+
+    rows = w.select("doc_id", "code", "w").repartition("doc_id").sortWithinPartitions("doc_id", "code")
+    return rows.mapInArrow(run, f"doc_id {kind}, codes binary, w binary, digest binary")
 
 
 def unit_vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """(doc_id, cells) of tf * idf; vectors of norm 0 have no row."""
-    return _packed(tf.join(idf, "term").select("doc_id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")))
+    """(doc_id, codes, w, digest) of tf * idf; vectors of norm 0 have no row."""
+    return _packed(tf.join(coded(idf).drop("df"), "term").select("doc_id", "code", (F.col("tf") * F.col("idf")).alias("w")))
 
 
 def ngram_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_terms: int = 20_000, least_words: int = 30) -> DataFrame:
@@ -63,49 +100,53 @@ def ngram_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(most_terms)
     total = docs.count()
     idf = vocabulary.select("term", "df", (F.log((1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    return _packed(counts.join(idf, "term").select("doc_id", "term", "df", ((1 + F.log("n")) * F.col("idf")).alias("w")))
+    return _packed(counts.join(coded(idf).drop("df"), "term").select("doc_id", "code", ((1 + F.log("n")) * F.col("idf")).alias("w")))
 
 
 def representatives(vectors: DataFrame) -> DataFrame:
     """(doc_id, rep): the smallest doc_id with the same vector."""
-    content = F.transform("cells", lambda c: F.struct(c["term"].alias("t"), F.round(c["w"], 12).alias("w")))
-    key = vectors.select("doc_id", F.sha2(F.to_json(content), 256).alias("k"))
-    return key.join(key.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep")
+    key = vectors.select("doc_id", "digest")
+    return key.join(key.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep")
 
 
 def prefixes(vectors: DataFrame, most: float) -> DataFrame:
-    """(doc_id, term, w): of each vector the cells up to the place where the rest's norm is below `most`."""
+    """(doc_id, code, w): of each vector the cells up to the place where the rest's norm is below `most`."""
 
     def run(batches):
         for b in batches:
-            cells, size = b.column(1).flatten(), b.column(1).value_lengths().to_numpy()
-            w = cells.field("w").to_numpy()
+            raw = b.column(1).to_pylist()
+            size = np.array([len(x) // 8 for x in raw], np.int64)
+            codes, w = np.frombuffer(b"".join(raw), "<i8"), np.frombuffer(b"".join(b.column(2).to_pylist()), "<f8")
             total = np.concatenate([[0.0], np.cumsum(w * w)])
             row = np.repeat(np.arange(len(size)), size)
             rest = total[np.cumsum(size)][row] - total[:-1]
-            at = pa.array(np.flatnonzero(rest >= (most - 1e-9) ** 2))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)).take(at), cells.field("term").take(at), cells.field("w").take(at)], names=["doc_id", "term", "w"])
+            at = np.flatnonzero(rest >= (most - 1e-9) ** 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(codes[at]), pa.array(w[at])], names=["doc_id", "code", "w"])
 
     kind = vectors.schema["doc_id"].dataType.simpleString()
-    return vectors.select("doc_id", "cells").mapInArrow(run, f"doc_id {kind}, term string, w double")
+    return vectors.select("doc_id", "codes", "w").mapInArrow(run, f"doc_id {kind}, code long, w double")
+
+
+def _dot(codes: bytes, w: bytes, other_codes: bytes, other_w: bytes) -> float:
+    x, y = np.frombuffer(codes, "<i8"), np.frombuffer(other_codes, "<i8")
+    at = np.searchsorted(x, y)
+    hit = np.flatnonzero(x[np.minimum(at, len(x) - 1)] == y)
+    return float(np.frombuffer(w, "<f8")[at[hit]] @ np.frombuffer(other_w, "<f8")[hit])
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """J2, AG5: (i, j, sim) with i < j and sim >= threshold > 0, of unit vectors (doc_id, cells)."""
+    """J2, AG5: (i, j, sim) with i < j and sim >= threshold > 0, of unit vectors."""
     most = (1 - MARGIN) * threshold  # norm of what stands behind a prefix
     index = cut(prefixes(vectors, most))
-    one = lambda s, w: index.select("term", F.col("doc_id").alias(s), F.col("w").alias(w))
-    partial = one("i", "p").join(one("j", "q"), "term").where("i < j")
+    one = lambda s, w: index.select("code", F.col("doc_id").alias(s), F.col("w").alias(w))
+    partial = one("i", "p").join(one("j", "q"), "code").where("i < j")
     candidates = partial.groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("s")).where(F.col("s") >= threshold - most - 1e-9).select("i", "j")
-    of = lambda s: vectors.select(F.col("doc_id").alias(s), F.transform("cells", lambda c: c["term"]).alias(f"t{s}"), F.transform("cells", lambda c: c["w"]).alias(f"w{s}"))
-    both = candidates.join(of("i"), "i").join(of("j"), "j").select("i", "j", "ti", "wi", "tj", "wj")
+    of = lambda s: vectors.select(F.col("doc_id").alias(s), F.col("codes").alias(f"c{s}"), F.col("w").alias(f"w{s}"))
+    both = candidates.join(of("i"), "i").join(of("j"), "j").select("i", "j", "ci", "wi", "cj", "wj")
 
     def verify(batches):
         for b in batches:
-            sims = np.empty(b.num_rows)
-            for k in range(b.num_rows):
-                x = dict(zip(b.column(2)[k].as_py(), b.column(3)[k].as_py(), strict=True))
-                sims[k] = sum(x.get(t, 0.0) * w for t, w in zip(b.column(4)[k].as_py(), b.column(5)[k].as_py(), strict=True))
+            sims = np.array([_dot(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)], float)
             at = pa.array(np.flatnonzero(sims >= threshold))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sims).take(at)], names=["i", "j", "sim"])
 
@@ -157,7 +198,7 @@ def dedupe(docs: DataFrame, threshold: float, variant: str = "a1", id_col: str =
     """(doc_id, duplicate_of) for all documents, null where the document is kept."""
     ids = docs.select(F.col(id_col).alias("doc_id"))
     if variant == "a1":
-        tf = term_frequencies(docs, id_col, text_col)
+        tf = cut(term_frequencies(docs, id_col, text_col))  # texts are read and tokenized once
         vectors = unit_vectors(tf, document_frequencies(tf, docs.count()))
     else:
         vectors = ngram_vectors(docs, id_col, text_col)

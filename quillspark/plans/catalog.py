@@ -61,7 +61,7 @@ def doc_freq_idf(spark, sf):
 def tfidf_cosine_pairs(spark, sf):
     """Pairs between representatives of equal vectors; `vector_classes` has the membership."""
     docs = _docs(spark, sf)
-    tf = tfidf.term_frequencies(docs)
+    tf = cut(tfidf.term_frequencies(docs))
     v = cut(tfidf.unit_vectors(tf, tfidf.document_frequencies(tf, docs.count())))
     own = v.join(tfidf.representatives(v).where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     return tfidf.cosine_pairs(own, 0.85).select("i", "j", F.round("sim", 6).alias("sim"))
@@ -70,7 +70,7 @@ def tfidf_cosine_pairs(spark, sf):
 @query
 def vector_classes(spark, sf):
     docs = _docs(spark, sf)
-    tf = tfidf.term_frequencies(docs)
+    tf = cut(tfidf.term_frequencies(docs))
     return tfidf.representatives(tfidf.unit_vectors(tf, tfidf.document_frequencies(tf, docs.count())))
 
 
