@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import providers
 from quillspark.functions import html, json_text, text, urls
-from quillspark.operators import alerts, chunks, content, crawl, graph, merged, research, scan, suffixes, tfidf, vector_index, vectors
+from quillspark.operators import alerts, chunks, content, crawl, graph, merged, research, scan, suffixes, taint, tfidf, vector_index, vectors
 from quillspark.plans import inputs
 from quillspark.plans.inputs import table
 from quillspark.sources import readers, writers
@@ -354,6 +354,16 @@ def detector_scan(spark, sf):
     return _found(spark, sf)[1].select("file", "vuln_type", "severity", "pos", "evidence")
 
 
+def _code(spark, sf):
+    return scan.source_files(inputs.code_files(spark, sf), content_chars=None)
+
+
+@query
+def taint_scan(spark, sf):
+    """What reaches a sink in every file."""
+    return taint.scan(_code(spark, sf))
+
+
 @query
 def finding_ids(spark, sf):
     return _found(spark, sf)[1].select("id", "file", "i")

@@ -35,6 +35,22 @@ SELECT c_custkey, concat(CASE c_custkey % 3 WHEN 0 THEN 'https://Shop' WHEN 1 TH
   '/item/', c_custkey) AS url
 FROM customer"""
 
+# Small programs made of part names: data that reaches a sink, is made safe, bound, in a comment, or in another function.
+CODE = r"""
+SELECT concat('src/', replace(p_name, ' ', '_'), '_', p_partkey, CASE WHEN p_partkey % 11 < 7 THEN '.py' ELSE '.js' END) AS path, CASE p_partkey % 11
+  WHEN 0 THEN concat('def find(db):\n    name = request.args["', p_brand, '"]\n    text = "select " + name\n    return db.execute(text)\n')
+  WHEN 1 THEN concat('def find(db):\n    name = request.args["', p_brand, '"]\n    return db.execute("select ?", (name,))\n')
+  WHEN 2 THEN concat('# db.execute(request.args)\nnote = "db.execute(input()) ', p_type, '"\n')
+  WHEN 3 THEN concat('def get():\n    url = f"http://{host}/', p_partkey, '"\n    host = input()\n    return requests.get(url)\n')
+  WHEN 4 THEN concat('password = "', replace(p_brand, '#', ''), p_partkey, '"\nsize = int(input())\ndb.execute("limit " + size)\n')
+  WHEN 5 THEN 'def a():\n    x = input()\ndef b():\n    return mark_safe(x)\n'
+  WHEN 6 THEN concat('def page():\n    x = request.form\n    y = x.title\n    return mark_safe("', p_type, '" + y)\n')
+  WHEN 7 THEN 'function show() { const q = location.search; el.innerHTML = `<b>${q}</b>`; }'
+  WHEN 8 THEN '// fetch(location)\nconst n = parseInt(req.query.n); db.query("limit " + n);'
+  WHEN 9 THEN 'const go = (req) => { let u = req.query.u; fetch(u); db.query("a", u) }'
+  ELSE concat('/* document.write(location) */ const apiKey = "', p_partkey, p_partkey, '";') END AS content
+FROM part"""
+
 DOC_FILES = "SELECT concat('src/doc_', doc_id, '.py') AS path, text AS content FROM documents"
 
 
@@ -64,6 +80,10 @@ def shops(spark, sf_dir) -> DataFrame:
     return _with(spark, sf_dir, SHOPS, ("customer",))
 
 
+def code_files(spark, sf_dir) -> DataFrame:
+    return _with(spark, sf_dir, CODE, ("part",))
+
+
 def document_files(spark, sf_dir) -> DataFrame:
     return _with(spark, sf_dir, DOC_FILES, ("documents",))
 
