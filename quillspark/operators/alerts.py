@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text
 from quillspark.functions.text import error_codes, strip
 
 # Services in the order in which they are looked for.
@@ -87,13 +88,18 @@ def internal_context(name: Column) -> Column:
 def external_knowledge(queries: DataFrame, titles: DataFrame, k: int = 3) -> DataFrame:
     """SRC14: queries (id, service) with the first k titles (ord, title) that name the service, joined by line ends; null without any.
 
-    Services are few, so titles are matched against the distinct ones and ranked by partial top-k lists.
+    A title has a row for each of its parts that is as long as some service's name, which meets the services by an
+    equi-join, however many they are; each task keeps its own first k of a service before they are shuffled.
     """
-    names = queries.select("service").distinct()
-    hits = titles.join(F.broadcast(names.limit(len(SERVICES) + 1)), F.contains(F.lower("title"), F.col("service")))
-    top = hits.groupBy("service").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "title"))), 1, k).alias("x"))
-    told = top.select("service", F.array_join(F.transform("x", lambda x: x["title"]), "\n").alias("knowledge"))
-    return queries.join(told, "service", "left")
+    names = queries.select(F.col("service").alias("part")).where("part is not null").distinct()
+    lengths = F.broadcast(names.agg(F.array_sort(F.collect_set(F.length("part"))).alias("lengths")))  # one row, a number for each length
+    t = F.lower("title")
+    parts = F.flatten(F.transform("lengths", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, n))))
+    each = titles.where("title is not null").crossJoin(lengths).select("ord", "title", F.explode(F.array_distinct(parts)).alias("part"))
+    order = Window.partitionBy("part").orderBy("ord", "title")
+    top = each.join(names, "part").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    told = top.groupBy("part").agg(text.joined("title", "nth", "\n").alias("knowledge"))
+    return queries.join(told, F.col("service") == F.col("part"), "left").drop("part")
 
 
 def verified(decisions: DataFrame, at: Column | None = None) -> DataFrame:

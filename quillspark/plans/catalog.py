@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import providers
 from quillspark.functions import html, json_text, text, urls
-from quillspark.operators import alerts, chunks, content, crawl, graph, merged, research, scan, suffixes, taint, tfidf, vector_index, vectors
+from quillspark.operators import alerts, cached, chunks, content, crawl, graph, merged, research, scan, suffixes, summaries, taint, tfidf, vector_index, vectors
 from quillspark.plans import inputs
 from quillspark.plans.inputs import table
 from quillspark.sources import readers, writers
@@ -456,6 +456,21 @@ def concepts_offline(spark, sf):
     return _docs(spark, sf).select("doc_id", F.array_join(providers.concepts(F.col("text")), ",").alias("concepts"))
 
 
+@query
+def cached_concepts(spark, sf):
+    """U3, DF8: concepts of all documents through a cache that holds those of every second one."""
+    d, path = _docs(spark, sf).select("doc_id", "text"), scratch(spark, "cache")
+    ask = lambda t: t.select("hash", F.array_join(providers.concepts(F.col("text")), ",").alias("result"))
+    cached.with_results(d.where("doc_id % 2 = 0"), "text", ask, "string", path, "concepts", "1")
+    return cached.with_results(d, "text", ask, "string", path, "concepts", "1", "concepts").select("doc_id", "concepts")
+
+
+@query
+def summary_sentences(spark, sf):
+    """The three most central sentences of every document."""
+    return summaries.with_summary(_docs(spark, sf).select("doc_id", "text")).select("doc_id", F.array_join("summary", "\n").alias("summary"))
+
+
 @query
 def embed_offline(spark, sf):
     e = _docs(spark, sf).select("doc_id", providers.hashed_embedding(F.col("text")).alias("v"))

@@ -255,6 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "rate_schedule": f"SELECT page_id, {authority('url')} AS domain, row_number() OVER (PARTITION BY {authority('url')} ORDER BY page_id) - 1 AS second FROM pages",
         "extracted_pages": "WITH w AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN url || '/missing' ELSE url END AS url FROM pages) SELECT page_id, url, CAST(CASE WHEN url IN (SELECT url FROM pages) THEN 200 ELSE 404 END AS BIGINT) AS status, CASE WHEN url IN (SELECT url FROM pages) THEN NULL ELSE 'http_404' END AS error FROM w",
     }
+    out["cached_concepts"] = out["concepts_offline"]
     out["vector_index_all"] = out["vector_topk"]
     from quillspark.plans import flows_sql
 
