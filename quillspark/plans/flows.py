@@ -209,6 +209,17 @@ def research_run(spark, sf):
     return pipelines.research_a2(spark, pipelines.RunConfig("tables", max_sources=200), p, seeds, "2024-01-15 00:00 UTC").report
 
 
+@query
+def research_a1_sources(spark, sf):
+    """PL1: A1's run over all pages, from every page whose id is divisible by 20, under robots rules: its sources."""
+    p = _pages(spark, sf)
+    seeds = p.where("page_id % 20 = 0").select("url", F.col("page_id").alias("ord"))
+    hosts = p.select(urls.authority(F.col("url")).alias("host")).distinct()
+    robots = hosts.select("host", F.concat(F.lit("User-agent: *\nDisallow: /"), F.substring("host", 1, 2), F.lit("\nDisallow: /en/1\nAllow: /en/12\n")).alias("text"))
+    run = pipelines.research_a1(spark, pipelines.RunConfig("tables", max_sources=1_000_000), pages=p, seeds=seeds, generated="2024-01-15 00:00 UTC", robots=robots)
+    return run.sources.select("id", "url", "title", "duplicate_of", F.md5("text").alias("text_md5"), F.size("bullets").alias("bullets"))
+
+
 @query
 def graph_answers(spark, sf):
     """A3: all documents ingested; the benchmark's items, every id divisible by 20, as questions."""
