@@ -128,3 +128,12 @@ def test_taint_query_equals_file_by_file(spark, sf):
     python = {(r["path"], kind, line, col) for r in files if r["language"] == "python" for kind, line, col in plain(r["content"])}
     assert python == {(f, k, line, col) for f, k, _, line, col, _, _ in got if f.endswith(".py")} and python
     assert taint.scan(spark.createDataFrame([("a.py", None, "python")], "path string, content string, language string")).count() == 0
+
+
+def test_files_are_dealt_over_the_tasks(spark, sf):
+    """The table is one file of one row group: neither contents nor findings may be one task's work."""
+    from quillspark.plans import catalog
+
+    found = catalog.taint_scan(spark, sf)
+    assert found.rdd.getNumPartitions() > 1
+    assert catalog._code(spark, sf).rdd.getNumPartitions() > 1
